@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .jaccard_join import near_copies
+from .mixing import mixed
 from .repeats import without_repeats
+from .token_counts import token_counts
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,12 +20,24 @@ def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(_table(spark, folder, "documents"))
 
 
+def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return without_repeats(_table(spark, folder, "documents"), with_text=False)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op5_jaccard_join,
+    "op7_source_mixing": op7_source_mixing,
+    "op8_token_counts": op8_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
