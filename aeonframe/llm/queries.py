@@ -10,6 +10,7 @@ from .jaccard_join import near_copies
 from .mixing import mixed
 from .repeats import without_repeats
 from .token_counts import token_counts
+from .winnowing import fingerprinted
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,6 +21,10 @@ def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(_table(spark, folder, "documents"))
 
 
+def op6_winnowing(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprinted(_table(spark, folder, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -36,6 +41,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_winnowing": op6_winnowing,
     "op7_source_mixing": op7_source_mixing,
     "op8_token_counts": op8_token_counts,
     "op10_substring_dedup": op10_substring_dedup,
