@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .jaccard_join import near_copies
 from .mixing import mixed
+from .pii import personal_data, printed as printed_spans
 from .repeats import without_repeats
 from .token_counts import token_counts
 from .winnowing import fingerprinted
@@ -17,6 +18,13 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op3_weak_pii(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal_data(_table(spark, folder, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    counts = [count(n).alias(f"n_{name}") for n, name in enumerate(("email", "ip", "card", "phone"))]
+    return found.select("doc_id", *counts, F.sha2(printed_spans(F.col("base")).cast("binary"), 256).alias("base_sha256"), printed_spans(F.col("spans")).alias("spans"))
+
+
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(_table(spark, folder, "documents"))
 
@@ -40,6 +48,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_weak_pii": op3_weak_pii,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_winnowing": op6_winnowing,
     "op7_source_mixing": op7_source_mixing,
