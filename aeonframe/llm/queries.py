@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .decontamination import contaminated
 from .jaccard_join import near_copies
 from .mixing import mixed
 from .pii import personal_data, printed as printed_spans
@@ -18,6 +19,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def op3_weak_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = personal_data(_table(spark, folder, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -48,6 +53,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_weak_pii": op3_weak_pii,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_winnowing": op6_winnowing,
