@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -229,15 +230,13 @@ def without_bad(documents: DataFrame, labels: DataFrame, threshold: float = 0.7)
     """The documents that a field trained on the labels accepts; all columns stay."""
     field = train(documents, labels.filter(~held_out()))
     text = F.col("text").cast("string")
-    # The score depends on the text alone, so the filter needs no join: it is an Arrow function over the texts.
-    from pyspark.sql.functions import pandas_udf
-    import pandas as pd
 
-    @pandas_udf("double")
+    @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        hasher, out = Hasher(), []
+        hasher, out = Hasher(), [np.zeros(0)]
         for _, c in chunks(pa.array(texts, pa.large_string())):
             out.append(_scores(field, c, hasher))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+        return pd.Series(np.concatenate(out))
 
+    # The score depends on the text alone, so the filter needs no join.
     return documents.filter(score(F.coalesce(text, F.lit(""))) >= threshold)

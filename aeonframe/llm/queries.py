@@ -10,6 +10,7 @@ from .decontamination import contaminated
 from .jaccard_join import near_copies
 from .mixing import mixed
 from .pii import personal_data, printed as printed_spans
+from .quality import held_out, quality_scores, train
 from .repeats import without_repeats
 from .token_counts import token_counts
 from .winnowing import fingerprinted
@@ -19,6 +20,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_quality_crf(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    field = train(documents, _table(spark, folder, "labels").filter(~held_out()))
+    return quality_scores(documents, field).withColumn("held_out", held_out()).select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return contaminated(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
@@ -53,6 +60,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_crf": op1_quality_crf,
     "op2_decontamination": op2_decontamination,
     "op3_weak_pii": op3_weak_pii,
     "op5_jaccard_join": op5_jaccard_join,
