@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontamination import contaminated
+from .html_text import main_texts
 from .jaccard_join import near_copies
 from .mixing import mixed
 from .pii import personal_data, printed as printed_spans
@@ -55,6 +56,10 @@ def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(_table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_html_mincut(spark: SparkSession, folder: str) -> DataFrame:
+    return main_texts(_table(spark, folder, "pages"))
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return without_repeats(_table(spark, folder, "documents"), with_text=False)
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_winnowing": op6_winnowing,
     "op7_source_mixing": op7_source_mixing,
     "op8_token_counts": op8_token_counts,
+    "op9_html_mincut": op9_html_mincut,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
