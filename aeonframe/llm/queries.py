@@ -13,6 +13,7 @@ from .mixing import mixed
 from .pii import personal_data, printed as printed_spans
 from .quality import held_out, quality_scores, train
 from .repeats import without_repeats
+from .suffix_tree_lm import scored_texts
 from .token_counts import token_counts
 from .winnowing import fingerprinted
 
@@ -38,6 +39,10 @@ def op3_weak_pii(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(printed_spans(F.col("base")).cast("binary"), 256).alias("base_sha256"), printed_spans(F.col("spans")).alias("spans"))
 
 
+def op4_suffix_tree_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return scored_texts(_table(spark, folder, "documents"))
+
+
 def op5_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(_table(spark, folder, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_crf": op1_quality_crf,
     "op2_decontamination": op2_decontamination,
     "op3_weak_pii": op3_weak_pii,
+    "op4_suffix_tree_lm": op4_suffix_tree_lm,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_winnowing": op6_winnowing,
     "op7_source_mixing": op7_source_mixing,
