@@ -19,6 +19,8 @@ SKETCH_BITS = 18
 NEEDED_BITS = 23
 #: A set of this size is the largest that may count as small.
 SMALL_AT_MOST = 16
+#: Elements of the sets of a block; a larger cluster is compared block by block.
+BLOCK_ELEMENTS = 1 << 19
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -145,19 +147,97 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray) -> Iterat
             yield pa.record_batch({"doc_id": batch.column(0).slice(rows.start, rows.stop - rows.start), "elements": lists})
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, label: str) -> DataFrame:
-    """Those of the pairs (u, v) whose sets, made again from the texts, are similar enough."""
-    pairs = persisted(pairs.select("u", "v").distinct(), f"{label}-candidates")
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+def _whole_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, elements) of the documents with these ids, made again from their texts."""
     place = lambda c: 1 + F.pmod(F.xxhash64(c), F.lit(1 << NEEDED_BITS))  # noqa: E731  as bitmaps count from 1
-    # A bitmap of fixed size: documents without a bit are in no pair; the join removes the others.
+    # A bitmap of fixed size: documents without a bit are not wanted; the join removes what else passes.
     marked = ids.select(place("id").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
     bits = np.zeros((1 << NEEDED_BITS) // 8, np.uint8)
     for b, held in marked.collect():
         bits[(b - 1) * 4096 : b * 4096] = np.frombuffer(held, np.uint8)
     sets = docs.select("doc_id", "text", place("doc_id").alias("p")).filter("doc_id is not null").mapInArrow(lambda it: _sets(it, k, bits), "doc_id long, elements array<long>")
-    sets = sets.join(ids, sets["doc_id"] == ids["id"], "left_semi")
-    sets = persisted(sets, f"{label}-sets")
+    return sets.join(ids, sets["doc_id"] == ids["id"], "left_semi")
+
+
+def _close(percent: int) -> str:
+    """What `common` prefix elements of sets of n and m elements must reach for a link.
+
+    If the prefix of one set ends first in the global order, its common
+    elements that aren't in both prefixes stand behind its prefix.
+    """
+    rest = "({x} - least({x}, {x} - ({p} * {x} + 99) div 100 + 1 + {x} div 32))"
+    n, m = rest.format(x="n", p=percent), rest.format(x="m", p=percent)
+    return f"least(n, m) * 100 >= greatest(n, m) * {percent} and common >= greatest(1, ({percent} * (n + m) + {99 + percent}) div {100 + percent} - greatest({n}, {m}))"
+
+
+def _block_links(values: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between sets numbered left and right, as far as they join what other links leave apart.
+
+    The sets on the left are held one by one against the inverted lists of
+    those on the right.
+    """
+    size = np.diff(bounds)
+    flat, at = ragged_take(values, bounds[right], size[right])
+    owner = np.repeat(np.arange(len(right)), size[right])
+    order = np.argsort(flat, kind="stable")
+    keys, owner = flat[order], owner[order]
+    parent = {int(x): int(x) for x in np.concatenate([left, right])}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for x in left:
+        own = values[bounds[x] : bounds[x + 1]]
+        a, b = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+        common = np.bincount(ragged_take(owner, a, b - a)[0], minlength=len(right))
+        for y in right[common * (100 + percent) >= percent * (size[x] + size[right])]:
+            if (p := root(int(x))) != (q := root(int(y))):
+                parent[p] = q
+                out.append((int(x), int(y)))
+    return out
+
+
+def _cluster_links(table: pa.Table, percent: int) -> pa.Table:
+    """Links of one group of sets: whole clusters (i = -1), or two blocks (or twice the same) of a large one."""
+    lists = table.column("elements").combine_chunks()
+    values, bounds = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
+    ids, block, cluster = (table.column(c).to_numpy() for c in ("doc_id", "block", "cluster"))
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    links = []
+    if i < 0:
+        order = np.argsort(cluster, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
+            links += _block_links(values, bounds, some, some, percent)
+    else:
+        links = _block_links(values, bounds, np.flatnonzero(block == i), np.flatnonzero(block == j), percent)
+    at = np.array(links, np.int64).reshape(-1, 2)
+    return pa.table({"u": pa.array(ids[at[:, 0]], pa.int64()), "v": pa.array(ids[at[:, 1]], pa.int64())})
+
+
+def _within_clusters(clusters: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) between the sets of each cluster (node, component)."""
+    sets = _whole_sets(clusters.select(F.col("node").alias("id")), docs, k)
+    sets = sets.join(clusters, sets["doc_id"] == clusters["node"]).select("doc_id", "elements", F.col("component").alias("cluster"))
+    sets = persisted(sets, "jaccard-cluster-sets")
+    weight = sets.groupBy("cluster").agg(F.sum(F.size("elements")).cast("long").alias("weight"))
+    total = weight.agg(F.sum("weight")).first()[0] or 0
+    groups = int(total // BLOCK_ELEMENTS + 1)
+    sized = sets.join(weight, "cluster").withColumn("blocks", F.ceil(F.col("weight") / BLOCK_ELEMENTS).cast("int"))
+    sized = sized.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    whole = F.array(F.struct(F.pmod(F.xxhash64("cluster"), F.lit(groups)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
+    dealt = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.col("cluster").alias("g"), F.least(b, "block").alias("i"), F.greatest(b, "block").alias("j")))
+    dealt = sized.select("doc_id", "elements", "cluster", "block", F.explode(F.when(F.col("blocks") == 1, whole).otherwise(dealt)).alias("to")).select("doc_id", "elements", "cluster", "block", "to.*")
+    return dealt.groupBy("g", "i", "j").applyInArrow(lambda t: _cluster_links(t, percent), "u long, v long")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, label: str) -> DataFrame:
+    """Those of the pairs (u, v) whose sets, made again from the texts, are similar enough."""
+    pairs = persisted(pairs.select("u", "v").distinct(), f"{label}-candidates")
+    sets = persisted(_whole_sets(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct(), docs, k), f"{label}-sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("elements").alias("x")), "u")
     both = left.join(sets.select(F.col("doc_id").alias("v"), F.col("elements").alias("y")), "v")
     common = F.size(F.array_intersect("x", "y"))
@@ -179,11 +259,13 @@ def near_copies(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     (seldom ones first, by a sketch of fixed size; any order is right). The
     boundary is where the estimated cost is least (plan_small).
 
-    Scanning a list never makes all its pairs. First, each set is compared
-    with one leader of a list; then lists are looked at again only as far as
-    they hold sets that are not yet in one component, so near copies by the
-    thousand cost one comparison each and no link between components is lost.
-    Candidates are verified on whole sets. Sets are of 64-bit hashes.
+    Scanning a list never makes all its pairs. Each set is held against one
+    leader of a list first; sets that share enough of their prefix with a
+    leader become a cluster, and the whole sets of a cluster are compared in
+    one place, or block by block where a cluster is large, which yields only
+    links that join what was apart. Then lists are looked at again only as far
+    as they hold sets of several clusters, so no link is lost. All links are
+    verified on whole sets. Sets are of 64-bit hashes.
 
     A null text is an empty one; empty documents link with nothing and are
     their own component; a row without doc_id links with nothing and has a
@@ -207,24 +289,23 @@ def near_copies(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
 
     entries = entries.withColumn("bucket", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int") if percent < 100 else F.col("n"))
     of_list, of_bucket = Window.partitionBy("key"), Window.partitionBy("key", "bucket")
-    entries = entries.withColumn("leader", F.min(F.struct("rep", "n")).over(of_bucket))
+    # By list first: rows dealt by list serve the buckets of a list, too.
     entries = entries.withColumns({"first": F.min("rep").over(of_list), "last": F.max("rep").over(of_list), "smaller": F.min(F.when(F.col("part") == 1, F.col("rep"))).over(of_list)})
-    shared = persisted(entries.filter("first <> last").drop("first", "last", "bucket"), "jaccard-lists")
+    entries = entries.filter("first <> last").withColumn("leader", F.min(F.struct("rep", "n")).over(of_bucket))
+    shared = persisted(entries.drop("first", "last", "bucket"), "jaccard-lists")
 
     light = shared.filter("part > 0 and smaller <> rep").select(F.col("smaller").alias("u"), F.col("rep").alias("v")).distinct()
     scanned = shared.filter("part = 0")
-    close = "least(n, m) * 100 >= greatest(n, m) * {p} and common >= 1 + least(n, m) div 32".format(p=percent)
-    star = scanned.filter("leader.rep <> rep").groupBy(F.col("leader.rep").alias("u"), F.col("leader.n").alias("m"), F.col("rep").alias("v"), "n").agg(F.count("*").alias("common")).filter(close)
-    best = star.groupBy("v").agg(F.max(F.struct("common", (-F.col("u")).alias("u"))).alias("best")).select((-F.col("best.u")).alias("u"), "v")
-    edges = persisted(light.union(_verified(best, docs, k, percent, "jaccard-star")), "jaccard-edges")
-    known = components(edges, "jaccard-first")
+    star = scanned.filter("leader.rep <> rep").groupBy(F.col("leader.rep").alias("u"), F.col("leader.n").alias("m"), F.col("rep").alias("v"), "n").agg(F.count("*").alias("common")).filter(_close(percent))
+    known = persisted(components(star.select("u", "v"), "jaccard-clusters"), "jaccard-clusters")
+    edges = persisted(light.union(_within_clusters(known, docs, k, percent)), "jaccard-edges")
 
     placed = scanned.select("key", "rep", "n").join(known, scanned["rep"] == known["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
     placed = persisted(placed.join(mixed, "key", "left_semi"), "jaccard-open")
     other = placed.select("key", F.col("rep").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
     pairs = placed.join(other, "key").filter(f"rep < v and c <> d and least(n, m) * 100 >= greatest(n, m) * {percent}")
-    pairs = pairs.groupBy(F.col("rep").alias("u"), "n", "v", "m").agg(F.count("*").alias("common")).filter(close)
+    pairs = pairs.groupBy(F.col("rep").alias("u"), "n", "v", "m").agg(F.count("*").alias("common")).filter(_close(percent))
     late = persisted(_verified(pairs, docs, k, percent, "jaccard-rest"), "jaccard-late")
     found = components(edges.union(late), "jaccard-all")
 
