@@ -2,24 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from aeonframe.plans import expansion
+from aeonframe.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-_EXPANSION = """
-    SELECT l_returnflag, l_linestatus, ord, n_bins, 1.0{D} / n_bins AS w
-    FROM spans {EXPLODE}
-"""
-
-
-def aoristic_timeline(spark: SparkSession, folder: str) -> DataFrame:
-    """Placeholder of the flagship: records per month of shipping."""
-    from pyspark.sql import functions as F
-
-    return spark.read.parquet(f"{folder}/lineitem.parquet").groupBy("l_returnflag", F.month("l_shipdate").alias("m")).agg(F.count("*").alias("n"))
-
-
-QUERIES["EXP_01_aoristic_timeline"] = aoristic_timeline
+__all__ = ["ORACLE_SQL", "QUERIES", "expansion"]
