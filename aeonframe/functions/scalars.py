@@ -64,6 +64,11 @@ def bin_ordinal(edge: Column) -> Column:
     return F.when(edge < 0, F.floor(edge / BIN_YEARS)).otherwise(F.floor((edge - 1) / BIN_YEARS)).cast("int")
 
 
+def year_ordinal(y: Column) -> Column:
+    """bin_ordinal(bin_edge(y)) in one step."""
+    return F.floor((y - (y >= 0).cast("int")) / BIN_YEARS).cast("int")
+
+
 def ordinal_edge(ordinal: Column) -> Column:
     return F.when(ordinal < 0, ordinal * BIN_YEARS).otherwise(ordinal * BIN_YEARS + 1).cast("int")
 

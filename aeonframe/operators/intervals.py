@@ -15,10 +15,11 @@ def with_ordinals(records: DataFrame, start: str = "date_start", end: str = "dat
     A missing end is the other one; ends the wrong way round are swapped;
     records without any have nulls. An interval has MOST_BINS bins at most.
     """
-    a, b = F.coalesce(F.col(start), F.col(end)), F.coalesce(F.col(end), F.col(start))
-    first, last = S.bin_ordinal(S.bin_edge(F.least(a, b))), S.bin_ordinal(S.bin_edge(F.greatest(a, b)))
-    last = F.least(last, first + MOST_BINS - 1)
-    return records.withColumns({"ord_start": first, "ord_end": last, "n_bins": last - first + 1})
+    # least and greatest skip nulls, so a missing end is the other one.
+    first, last = S.year_ordinal(F.least(start, end)), S.year_ordinal(F.greatest(start, end))
+    placed = records.withColumns({"ord_start": first, "ord_end": last})
+    placed = placed.withColumn("ord_end", F.least("ord_end", F.col("ord_start") + MOST_BINS - 1))
+    return placed.withColumn("n_bins", F.col("ord_end") - F.col("ord_start") + 1)
 
 
 def expand(records: DataFrame, low: int | None = None, high: int | None = None) -> DataFrame:

@@ -251,8 +251,8 @@ def narrow_dated(spark, folder):
 
 @query("FLT_16_window_clip", f"""
 WITH {DATED}
-SELECT count(*) AS all_records, count(*) FILTER (ord_start IS NULL) AS undated, count(*) FILTER (greatest(ord_start, -20) <= least(ord_end, -5)) AS kept,
-       round(sum(CASE WHEN greatest(ord_start, -20) <= least(ord_end, -5) THEN (least(ord_end, -5) - greatest(ord_start, -20) + 1) / n_bins::DOUBLE END), 6) AS mass FROM dated""")
+SELECT count(*) AS all_records, count(*) FILTER (ord_start IS NULL) AS undated, count(*) FILTER (ord_start IS NOT NULL AND greatest(ord_start, -20) <= least(ord_end, -5)) AS kept,
+       round(sum(CASE WHEN ord_start IS NOT NULL AND greatest(ord_start, -20) <= least(ord_end, -5) THEN (least(ord_end, -5) - greatest(ord_start, -20) + 1) / n_bins::DOUBLE END), 6) AS mass FROM dated""")
 def window_clip(spark, folder):
     a, b = F.greatest("ord_start", F.lit(-20)), F.least("ord_end", F.lit(-5))
     kept = F.col("ord_start").isNotNull() & (a <= b)
