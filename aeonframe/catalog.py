@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aeonframe.plans import atlas, expansion
+from aeonframe.plans import analysis, atlas, expansion
 from aeonframe.plans.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "atlas", "expansion"]
+__all__ = ["ORACLE_SQL", "QUERIES", "analysis", "atlas", "expansion"]

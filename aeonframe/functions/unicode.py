@@ -7,10 +7,10 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(names: pd.Series) -> pd.Series:
     """Without accents and parentheses, lower case, letters and digits only, one space between."""
 
@@ -23,7 +23,7 @@ def fold(names: pd.Series) -> pd.Series:
     return names.map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def repair(texts: pd.Series) -> pd.Series:
     """Text whose UTF-8 bytes were read as Latin-1 or Windows-1252, up to three times over."""
 
@@ -45,7 +45,7 @@ def repair(texts: pd.Series) -> pd.Series:
     return texts.map(one, na_action="ignore")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """1 for equal names, Ratcliff-Obershelp's ratio else, at least 0.9 where one holds the other."""
 

@@ -388,9 +388,9 @@ def dominant(spark, folder):
     return c.groupBy("band").agg(best["language"].alias("main"), F.round(F.max("c") / F.sum("c"), 6).alias("share"))
 
 
-@query("AGG_39_fractional_membership", "WITH f AS (SELECT p_partkey, list_filter(['BRASS', 'TIN', 'COPPER', 'STEEL', 'NICKEL'], lambda x: contains(p_type, x)) AS f FROM part), e AS (SELECT unnest(CASE WHEN len(f) = 0 THEN ['other'] ELSE f END) AS family, 1.0::DOUBLE / greatest(len(f), 1) AS w FROM f) SELECT family, round(sum(w), 6) AS mass FROM e GROUP BY 1")
+@query("AGG_39_fractional_membership", "WITH f AS (SELECT p_partkey, list_filter(['MO', 'M', 'LARGE', 'ONO'], lambda x: contains(p_type, x)) AS f FROM part), e AS (SELECT unnest(CASE WHEN len(f) = 0 THEN ['other'] ELSE f END) AS family, 1.0::DOUBLE / greatest(len(f), 1) AS w FROM f) SELECT family, round(sum(w), 6) AS mass FROM e GROUP BY 1")
 def fractional_membership(spark, folder):
-    names = F.array(*(F.lit(x) for x in ("BRASS", "TIN", "COPPER", "STEEL", "NICKEL")))
+    names = F.array(*(F.lit(x) for x in ("MO", "M", "LARGE", "ONO")))
     f = F.filter(names, lambda x: F.col("p_type").contains(x))
     p = table(spark, folder, "part").select(F.when(F.size(f) == 0, F.array(F.lit("other"))).otherwise(f).alias("f"))
     return p.select(F.explode("f").alias("family"), (1.0 / F.size("f")).alias("w")).groupBy("family").agg(F.round(F.sum("w"), 6).alias("mass"))
