@@ -8,6 +8,7 @@ from .storage import partitions
 
 SPACES = r"[\x20\x09-\x0D]+"
 _PLACES = 24
+_CELLS = 1 << 14
 
 
 def _neighbours(values: Column, step: int, combine) -> Column:
@@ -76,27 +77,30 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(documents: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
     """documents with `next`, a struct of the columns of the row with the next smaller id; after the last comes the first.
 
-    Rows are dealt by ranges of ids; the first row of a range is also dealt to
-    the range before it, so each range finds all its followers in itself, and
-    no task sees more than a range. Equal ids follow one another by the
+    Rows are dealt by ranges of ids, from counts in 2**14 equal cells; the
+    first row of a range is also dealt to the range before it, so each range
+    finds all its followers in itself, and no task sees more than a range. Equal ids follow one another by the
     columns; null ids come last.
     """
-    spark = documents.sparkSession
-    count = 4 * partitions(spark)
-    cuts = documents.agg(F.percentile_approx(id_col, [i / count for i in range(1, count)], 10 * count)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)
-    # Ranges by falling id: 0 holds those above the first cut.
-    bucket = F.when(F.col(id_col).isNull(), F.lit(len(cuts)))
-    bucket = bucket.otherwise(F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c >= F.col(id_col))) if cuts else F.lit(0))
-    rows = documents.withColumn("_range", bucket.cast("int"))
+    key = F.col(id_col).cast("decimal(38,0)")
+    low, high, total = documents.agg(F.min(key), F.max(key), F.count(id_col)).first()
+    step = max(1, -(-int((high or 0) - (low or 0) + 1) // _CELLS))
+    # Equal cells of the ids by falling id; neighbouring cells make ranges of about as many rows.
+    cell = F.coalesce(F.floor((F.lit(int(high or 0)).cast("decimal(38,0)") - key) / F.lit(step)).cast("int"), F.lit(_CELLS))
+    wanted = total / (4 * partitions(documents.sparkSession)) if total else 1
+    counts = sorted(documents.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.max(key).alias("top")).collect())
+    ranges, tops, held = [0] * (_CELLS + 1), [], wanted
+    for c, n, top in counts:
+        if held >= wanted or c == _CELLS:
+            tops.append(top)
+            held = 0
+        ranges[c] = len(tops) - 1
+        held += n
+    listed = lambda values: F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",")  # noqa: E731  folded to one constant
+    rows = documents.withColumn("_range", F.get(listed(ranges), cell).cast("int"))
     order = [F.col(id_col).desc_nulls_last(), *[F.col(c).asc_nulls_first() for c in columns[:1]]]
-    # One row a range: its first id, and whether a range has rows at all.
-    firsts = {r["_range"]: r["top"] for r in rows.groupBy("_range").agg(F.max(id_col).alias("top")).collect()}
-    held = sorted(firsts)
-    before = {r: held[i - 1] for i, r in enumerate(held)}
-    if not held:
-        return rows.drop("_range").withColumn("next", F.struct(*columns))
-    also = F.coalesce(*[F.when((F.col("_range") == r) & F.col(id_col).eqNullSafe(F.lit(firsts[r])), F.lit(before[r])) for r in held])
+    top = F.get(listed(tops), F.col("_range")).try_cast("decimal(38,0)")
+    also = F.when(key.eqNullSafe(top), F.pmod(F.col("_range") - 1, F.lit(max(1, len(tops)))))
     # The lent copy stands behind the rows of its new range.
     lent = rows.filter(also.isNotNull()).withColumn("_range", also).withColumn("_lent", F.lit(1))
     both = rows.withColumn("_lent", F.lit(0)).unionByName(lent)
