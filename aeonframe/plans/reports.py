@@ -136,9 +136,9 @@ def decoded(spark, folder):
     return coded.join(d, "code").select("p_partkey", "code", F.col("value").alias("label"))
 
 
-@query("FLT_01_row_mask", "SELECT p_partkey FROM part WHERE p_size % 2 = 0 AND p_retailprice > 1000")
+@query("FLT_01_row_mask", "SELECT p_partkey FROM part WHERE p_size % 2 = 0 AND p_size > 25")
 def row_mask(spark, folder):
-    return table(spark, folder, "part").filter("p_size % 2 = 0 and p_retailprice > 1000").select("p_partkey")
+    return table(spark, folder, "part").filter("p_size % 2 = 0 and p_size > 25").select("p_partkey")
 
 
 @query("FLT_11_class_windows", f"WITH {EXPANDED} SELECT script, count(*) AS n, round(sum(w), 6) AS mass FROM expanded WHERE (script = 'F' AND ord BETWEEN -20 AND -5) OR (script = 'O' AND ord >= -10) OR script = 'P' GROUP BY 1")
