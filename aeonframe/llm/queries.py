@@ -82,4 +82,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"""
+w AS (SELECT doc_id, list_filter(string_split_regex(TEXT, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents)"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_jaccard_join": "WITH RECURSIVE"
+    + _WORDS.replace("TEXT", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    + """,
+k AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + 4], ' ') AS s FROM (SELECT doc_id, words, unnest(generate_series(1, greatest(len(words) - 4, least(len(words), 1)))) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM k a JOIN k b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, g.b FROM reach r JOIN both_ways g ON r.b = g.a)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(w.doc_id, coalesce(min(r.b), w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN reach r ON r.a = w.doc_id GROUP BY w.doc_id""",
+    "op10_substring_dedup": "WITH"
+    + _WORDS.replace("TEXT", "coalesce(text, '')")
+    + """,
+s AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS s FROM (SELECT doc_id, words, unnest(generate_series(1, len(words) - 49)) AS i FROM w)),
+f AS (SELECT s, min(doc_id) AS least FROM s GROUP BY s),
+c AS (SELECT DISTINCT doc_id, i + o AS i FROM (SELECT doc_id, i, unnest(generate_series(0, 49)) AS o FROM s JOIN f USING (s) WHERE doc_id > least)),
+x AS (SELECT doc_id, unnest(words) AS word, unnest(generate_series(1, len(words))) AS i FROM w),
+k AS (SELECT x.doc_id, count(c.i) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY x.i) FILTER (c.i IS NULL), '') AS kept FROM x LEFT JOIN c USING (doc_id, i) GROUP BY x.doc_id)
+SELECT w.doc_id, len(words) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)""",
+}
