@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 from pyspark.sql import Window, functions as F
 
@@ -12,7 +10,7 @@ from aeonframe.operators import geometry, hierarchy, intervals, models, spatial
 from aeonframe.sources import readers, writers
 
 from .console import console
-from .model import DATED, EXPANDED, PLACES, RECORDS, dated, places, records, table
+from .model import EXPANDED, PLACES, RECORDS, dated, places, records, table
 from .registry import query
 
 _SCORED = "scored AS (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y, 1 / (1 + exp(-((o_totalprice / 1000) % 7 - 3))) AS p0, o_custkey FROM orders), s AS (SELECT *, round(p0, 3) AS p FROM scored)"

@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from aeonframe.functions import scalars as S
 from aeonframe.operators import entropy, intervals
 
-from .model import DATED, EXPANDED, RECORDS, dated, records, table
+from .model import DATED, EXPANDED, RECORDS, dated, records
 from .registry import query
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from aeonframe.functions import scalars as S
 from aeonframe.operators.intervals import with_ordinals
 
 
