@@ -21,13 +21,15 @@ def balanced_folds(rows: DataFrame, key: str, folds: int) -> DataFrame:
     return clusters.withColumn("fold", (place % folds).cast("int"))
 
 
-def binary_metrics(scored: DataFrame, y: str, p: str, threshold: float = 0.5) -> DataFrame:
+def binary_metrics(scored: DataFrame, y: str, p: str, threshold: float = 0.5, digits: int = 6) -> DataFrame:
     """One row: n, auc, average_precision, f1, balanced_accuracy, brier, log_loss_bits of outcomes y (0, 1) and chances p.
 
     Everything comes from counts at each different p, summed before the one
     sort, in which ties share their mean rank; average precision takes equal
-    p's together.
+    p's together. Chances are rounded to `digits` places, so the sort has
+    10**digits rows at most.
     """
+    scored = scored.withColumn(p, F.round(F.col(p), digits))
     q = F.greatest(F.least(F.col(p), F.lit(1 - 1e-12)), F.lit(1e-12))
     at = scored.groupBy(F.col(p).alias("p")).agg(
         F.count("*").alias("n"), F.sum(y).alias("pos"), F.sum(F.pow(F.col(p) - F.col(y), 2)).alias("sq"), F.sum(-(F.col(y) * F.log2(q) + (1 - F.col(y)) * F.log2(1 - q))).alias("loss")

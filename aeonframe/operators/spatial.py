@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from aeonframe.functions import scalars as S
+from aeonframe.operators.quantiles import values_at
 
 #: Cells of a degree's share, for joins within a radius.
 CELL_DEGREES = 0.25
@@ -84,20 +85,10 @@ def tiles(west: float, south: float, east: float, north: float, step: float) ->
 
 
 def central_box(points: DataFrame, lon: str, lat: str, share: float = 0.005) -> DataFrame:
-    """One row (west, south, east, north): the box without the outermost share on each side, by index and not interpolated.
-
-    Counts of distinct values are summed first, so no task sorts all rows.
-    """
-
-    def bounds(c: str) -> DataFrame:
-        n = points.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n"))
-        until = n.withColumn("until", F.sum("n").over(Window.orderBy("v"))).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(1))))
-        low = F.min(F.when(F.col("until") > F.floor(F.col("total") * share), F.col("v")))
-        high = F.min(F.when(F.col("until") >= F.greatest(F.floor(F.col("total") * (1 - share)), F.lit(1)), F.col("v")))
-        return until.agg(low.alias(f"{c}_low"), high.alias(f"{c}_high"))
-
-    both = bounds(lon).crossJoin(F.broadcast(bounds(lat)))  # one row each
-    return both.select(F.col(f"{lon}_low").alias("west"), F.col(f"{lat}_low").alias("south"), F.col(f"{lon}_high").alias("east"), F.col(f"{lat}_high").alias("north"))
+    """One row (west, south, east, north): the box without the outermost share on each side, by index and not interpolated."""
+    found = {c: values_at(points, c, lambda n: [n * share + 1, n * (1 - share)]) for c in (lon, lat)}
+    row = (found[lon][0], found[lat][0], found[lon][1], found[lat][1])
+    return points.sparkSession.createDataFrame([row], "west double, south double, east double, north double")
 
 
 def snapped(c: Column, size: float = 0.25) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from aeonframe.functions import scalars as S
 from aeonframe.operators import facets, hierarchy, search, spatial
+from aeonframe.operators.quantiles import values_at
 
 from .model import DATED, PLACES, RECORDS, dated, places, records, table
 from .registry import query
@@ -207,11 +208,9 @@ def softmax(spark, folder):
 
 @query("MTH_07_percentile_index", "WITH v AS (SELECT value, row_number() OVER (ORDER BY value) AS i, count(*) OVER () AS n FROM events) SELECT max(value) FILTER (i = floor((n - 1) * 0.05) + 1) AS low, max(value) FILTER (i = floor((n - 1) * 0.95) + 1) AS high FROM v")
 def percentile_index(spark, folder):
-    """By index in the sorted values, not interpolated; from counts of different values."""
-    c = table(spark, folder, "events").groupBy("value").agg(F.count("*").alias("n"))
-    c = c.withColumn("until", F.sum("n").over(Window.orderBy("value"))).withColumn("total", F.sum("n").over(Window.partitionBy(F.lit(0))))
-    pick = lambda q: F.min(F.when(F.col("until") > F.floor((F.col("total") - 1) * q), F.col("value")))
-    return c.agg(pick(0.05).alias("low"), pick(0.95).alias("high"))
+    """By index in the sorted values, not interpolated."""
+    found = values_at(table(spark, folder, "events"), "value", lambda n: [(n - 1) * 0.05 + 1, (n - 1) * 0.95 + 1])
+    return spark.createDataFrame([tuple(found)], "low double, high double")
 
 
 @query("JON_01_star", "SELECT o_orderkey, c_name, n_name, r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
