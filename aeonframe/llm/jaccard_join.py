@@ -244,6 +244,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, label: st
     return both.filter(common * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("u", "v").distinct()
 
 
+def _placed(lists: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(key, rep, n, c): the lists with the cluster of each set, itself if it has none."""
+    return lists.select("key", "rep", "n").join(clusters, lists["rep"] == clusters["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+
+
 def near_copies(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of documents (doc_id, text).
 
@@ -260,8 +265,8 @@ def near_copies(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     boundary is where the estimated cost is least (plan_small).
 
     Scanning a list never makes all its pairs. Each set is held against one
-    leader of a list first; sets that share enough of their prefix with a
-    leader become a cluster, and the whole sets of a cluster are compared in
+    leader of a list first; sets that share a part of their prefix with a
+    leader, or with leaders of one cluster, become a cluster, and the whole sets of a cluster are compared in
     one place, or block by block where a cluster is large, which yields only
     links that join what was apart. Then lists are looked at again only as far
     as they hold sets of several clusters, so no link is lost. All links are
@@ -296,15 +301,29 @@ def near_copies(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
 
     light = shared.filter("part > 0 and smaller <> rep").select(F.col("smaller").alias("u"), F.col("rep").alias("v")).distinct()
     scanned = shared.filter("part = 0")
-    star = scanned.filter("leader.rep <> rep").groupBy(F.col("leader.rep").alias("u"), F.col("leader.n").alias("m"), F.col("rep").alias("v"), "n").agg(F.count("*").alias("common")).filter(_close(percent))
-    known = persisted(components(star.select("u", "v"), "jaccard-clusters"), "jaccard-clusters")
+    # Clusters may be too large but not too small: a share of the common elements is enough.
+    enough = "common >= greatest(1, least(n, n - ({p} * n + 99) div 100 + 1 + n div 32) div 6)".format(p=percent)
+    star = scanned.filter("leader.rep <> rep").groupBy(F.col("leader.rep").alias("u"), F.col("rep").alias("v"), "n").agg(F.count("*").alias("common")).filter(enough)
+    near = persisted(components(star.select("u", "v"), "jaccard-stars"), "jaccard-stars")
+    placed = _placed(scanned, near)
+    first = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
+    stray = placed.join(first, "key").filter("low <> c").groupBy("rep", "n", "c", "low").agg(F.count("*").alias("common")).filter(enough)
+    merged = components(stray.select(F.col("c").alias("u"), F.col("low").alias("v")).union(near.select("node", "component")), "jaccard-clusters")
+    known = persisted(merged, "jaccard-clusters")
     edges = persisted(light.union(_within_clusters(known, docs, k, percent)), "jaccard-edges")
 
-    placed = scanned.select("key", "rep", "n").join(known, scanned["rep"] == known["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+    sizes = known.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("s"))
+    placed = _placed(scanned, known)
     mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-    placed = persisted(placed.join(mixed, "key", "left_semi"), "jaccard-open")
+    placed = placed.join(mixed, "key", "left_semi").join(sizes, "c", "left").withColumn("s", F.coalesce("s", F.lit(1)))
+    placed = persisted(placed, "jaccard-open")
+    # From the smaller cluster to the larger: a set goes on to the members of another cluster only if
+    # it meets that cluster in as many lists as a link to one of them would need.
+    heads = placed.select("key", F.col("c").alias("d"), F.col("s").alias("e")).distinct()
+    toward = placed.join(heads, "key").filter("s < e or s = e and c < d").groupBy("rep", "n", "d").agg(F.count("*").alias("common"))
+    toward = toward.filter(f"common >= 1 + ({percent} * n div 100) div 32").select("rep", "d")
     other = placed.select("key", F.col("rep").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
-    pairs = placed.join(other, "key").filter(f"rep < v and c <> d and least(n, m) * 100 >= greatest(n, m) * {percent}")
+    pairs = placed.join(toward, "rep").join(other, ["key", "d"]).filter(f"least(n, m) * 100 >= greatest(n, m) * {percent}")
     pairs = pairs.groupBy(F.col("rep").alias("u"), "n", "v", "m").agg(F.count("*").alias("common")).filter(_close(percent))
     late = persisted(_verified(pairs, docs, k, percent, "jaccard-rest"), "jaccard-late")
     found = components(edges.union(late), "jaccard-all")
