@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -229,14 +228,13 @@ def held_out(doc_id: str = "doc_id"):
 def without_bad(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents that a field trained on the labels accepts; all columns stay."""
     field = train(documents, labels.filter(~held_out()))
-    text = F.col("text").cast("string")
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        hasher, out = Hasher(), [np.zeros(0)]
-        for _, c in chunks(pa.array(texts, pa.large_string())):
-            out.append(_scores(field, c, hasher))
-        return pd.Series(np.concatenate(out))
+    place = documents.columns.index("text")
 
     # The score depends on the text alone, so the filter needs no join.
-    return documents.filter(score(F.coalesce(text, F.lit(""))) >= threshold)
+    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            for rows, c in chunks(batch.column(place)):
+                yield batch.slice(rows.start, rows.stop - rows.start).filter(pa.array(_scores(field, c, hasher) >= threshold))
+
+    return documents.mapInArrow(accepted, documents.schema)

@@ -12,7 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+#: Texts worked on at once, in bytes; the arrays of a step take some forty times as much.
+CHUNK_BYTES = 1 << 20
 _U = np.uint64
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -105,8 +106,13 @@ class Chunk:
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and int64 bounds of a column of text; a null is an empty text."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
-    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    # Copies of a batch are as large as the batch, so none is made without need.
+    if column.null_count:
+        column = pc.fill_null(column.cast(pa.string()), "")
+    if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+        column = column.cast(pa.large_string())
+    width = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    bounds = np.frombuffer(column.buffers()[1], width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     held = column.buffers()[2]
     return np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(0, np.uint8), bounds
 
