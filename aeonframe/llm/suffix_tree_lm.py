@@ -8,7 +8,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .storage import persisted
@@ -19,9 +18,11 @@ _U = np.uint64
 BLOCK_WORDS = 2_000_000
 #: A context has at most so many tokens.
 DEPTH = 3
-#: Words and contexts with at least this share of the training tokens are told apart; so there are at most 1 / LEAST_SHARE of a kind.
-LEAST_SHARE = 1e-4
-_OTHER, _START, _END, _FIRST = 0, 1, 2, 3  # symbols; words told apart come from _FIRST on
+#: Words and contexts seen so often in the training texts are told apart, at any size of the corpus.
+LEAST = 2
+#: Rows of a batch that is handed to Spark.
+_ROWS = 100_000
+_OTHER, _START, _END, _FIRST = 0, 1, 2, 3  # symbols; words told apart are hashes, and in a block numbers from _FIRST on
 
 
 class _Block:
@@ -116,54 +117,60 @@ def _longer(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return mix(context * _U(0xAF251AF3B0F025B5) + symbol.astype(_U) + _U(1))
 
 
-def _counts(batches: Iterator[pa.RecordBatch], told: pa.Array, depth: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """How often each symbol follows each of the wanted contexts, and one place before: the symbol that would make the context longer."""
-    held = np.zeros((0, 4), np.int64)
+def _local(batch: pa.RecordBatch | pa.Table, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a coded block: its stream in numbers of the block, bounds of its documents, and of each number the symbol (the same in all blocks) and the count."""
+    numbers, at = _unpacked(batch, i)
+    told = batch.column("symbols")[i].values.to_numpy()
+    stream, bounds = _stream(np.where(told != _OTHER, np.arange(len(told)) + _FIRST, _OTHER)[numbers], at)
+    return stream, bounds, np.concatenate([[_OTHER, _START, _END], told]), batch.column("counts")[i].values.to_numpy()
+
+
+def _grams(batches: Iterator[pa.RecordBatch], totals: Totals) -> Iterator[pa.RecordBatch]:
+    """Of each block, the training texts' pairs of a context and its next symbol, with their counts.
+
+    shorter is the pair whose context lacks the first symbol; where that
+    context is empty, q is the chance of the next symbol in it.
+    """
     for batch in batches:
         for i in range(batch.num_rows):
-            numbers, at = _unpacked(batch, i)
-            symbol_of = pc.fill_null(pc.index_in(batch.column("words")[i].values, value_set=told), -_FIRST).to_numpy().astype(np.int64) + _FIRST
-            train = ~batch.column("held")[i].values.to_numpy(zero_copy_only=False).astype(bool)
-            keep = np.repeat(train, np.diff(at))
-            sizes = np.diff(at)[train]
-            stream, bounds = _stream(symbol_of[numbers[keep]], np.concatenate([[0], np.cumsum(sizes)]))
-            places, h = _contexts(stream, bounds, depth)
-            if not len(places) or not len(wanted):
-                continue
-            j = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
-            hit = wanted[j] == h
-            places, h = places[hit], h[hit]
-            far = places - depth - 1
-            inside = far >= np.repeat(bounds, np.diff(np.append(bounds, len(stream))))[places]
-            before = np.where(inside, stream[np.maximum(far, 0)], -1)
-            # Next symbols (kind 0) and symbols before (kind 1), which longer contexts are made of.
-            rows = [np.stack([np.zeros(len(h), np.int64), h.view(np.int64), stream[places]], axis=1), np.stack([np.ones(inside.sum(), np.int64), h[inside].view(np.int64), before[inside]], axis=1)]
-            for r in rows:
-                key = _longer(r[:, 1].view(_U), r[:, 2])
-                _, first, n = np.unique(key, return_index=True, return_counts=True)
-                held = np.concatenate([held, np.column_stack([r[first], n])])
-            if len(held) > 2_000_000:
-                held = _merged(held)
-    held = _merged(held)
-    yield pa.record_batch({"kind": held[:, 0].astype(np.int32), "context": held[:, 1], "symbol": held[:, 2].astype(np.int32), "n": held[:, 3]})
-
-
-def _merged(rows: np.ndarray) -> np.ndarray:
-    key = mix(_longer(rows[:, 1].view(_U), rows[:, 2]) + rows[:, 0].astype(_U))
-    _, first, which = np.unique(key, return_index=True, return_inverse=True)
-    out = rows[first]
-    out[:, 3] = np.bincount(which, weights=rows[:, 3], minlength=len(first)).astype(np.int64)
-    return out
+            stream, bounds, symbols, counts = _local(batch, i)
+            root = totals.root(counts)
+            train = np.repeat(~batch.column("held")[i].values.to_numpy(zero_copy_only=False).astype(bool), np.diff(np.append(bounds, len(stream))))
+            named = symbols[stream]
+            before = np.zeros(len(stream), _U)
+            for depth in range(1, DEPTH + 1):
+                at, all_h = _contexts(named, bounds, depth)
+                places, h = at[train[at]], all_h[train[at]]
+                pair, first, n = np.unique(_longer(h, named[places]), return_index=True, return_counts=True)
+                places, h = places[first], h[first]
+                shorter = _longer(before[places], named[places])
+                q = root[stream[places]] if depth == 1 else np.zeros(len(places))
+                whole = pa.record_batch({"context": h.view(np.int64), "pair": pair.view(np.int64), "shorter": shorter.view(np.int64), "depth": np.full(len(pair), depth, np.int32), "q": q, "n": n.astype(np.int64)})
+                yield from (whole.slice(k, _ROWS) for k in range(0, len(pair), _ROWS))
+                before[at] = all_h
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block, the different pairs of a context and its next symbol in all texts."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            stream, bounds, symbols, _ = _local(batch, i)
+            named = symbols[stream]
+            for depth in range(1, DEPTH + 1):
+                places, h = _contexts(named, bounds, depth)
+                pair, first = np.unique(_longer(h, named[places]), return_index=True)
+                whole = pa.record_batch({"block": np.full(len(pair), batch.column("block")[i].as_py(), np.int64), "context": h[first].view(np.int64), "pair": pair.view(np.int64)})
+                yield from (whole.slice(k, _ROWS) for k in range(0, len(pair), _ROWS))
 
 
 @dataclass
 class Totals:
-    """Of the training texts: all tokens, different ones, texts; and of the words told apart: their counts."""
+    """Of the training texts: all tokens, different ones, texts; and of the words told apart: their counts, or only the sum of those and 0.1 each."""
 
     tokens: int
     kinds: int
     texts: int
-    told: np.ndarray
+    told: np.ndarray | float
 
     @property
     def norm(self) -> float:
@@ -172,11 +179,12 @@ class Totals:
     @property
     def other(self) -> float:
         """What the words not told apart have of norm, one that is new among them."""
-        return self.norm - float(np.sum(self.told + 0.1)) - (self.texts + 0.1)
+        told = self.told if isinstance(self.told, float) else float(np.sum(self.told + 0.1))
+        return self.norm - told - (self.texts + 0.1)
 
-    def root(self) -> np.ndarray:
-        """Chances of symbols without context: those of the base score."""
-        out = np.concatenate([[self.other, 0.0, self.texts + 0.1], self.told + 0.1]) / self.norm
+    def root(self, counts: np.ndarray | None = None) -> np.ndarray:
+        """Chances of symbols without context, those of the base score: of all words told apart, or of words with the given counts."""
+        out = np.concatenate([[self.other, 0.0, self.texts + 0.1], (self.told if counts is None else counts) + 0.1]) / self.norm
         return np.maximum(out, 1e-300)
 
 
@@ -196,15 +204,19 @@ class SuffixTree:
     root: np.ndarray
     orders: list[Order]
 
-    def chance(self, stream: np.ndarray, bounds: np.ndarray, places: np.ndarray) -> np.ndarray:
+    def chance(self, stream: np.ndarray, bounds: np.ndarray, places: np.ndarray, symbols: np.ndarray | None = None) -> np.ndarray:
         """Chances of the symbols at places, given the longest context in the tree before each.
 
+        With symbols, the stream has numbers of a block, and contexts are made
+        of the symbols of those.
+
         The counts of a context are smoothed with the chances that the next
         shorter one in the tree gives, which weigh as much as the context has
         different next symbols.
         """
         p = np.zeros(len(stream))
         p[places] = self.root[stream[places]]
+        stream = stream if symbols is None else symbols[stream]
         for depth, o in enumerate(self.orders, 1):
             if not len(o.context):
                 continue
@@ -219,91 +231,52 @@ class SuffixTree:
         return p[places]
 
 
-def grow(blocks: DataFrame, told: pa.Array, totals: Totals) -> SuffixTree:
-    """The tree, level by level: contexts of one depth give those of the next that are frequent enough.
+def grow(coded: DataFrame, totals: Totals) -> DataFrame:
+    """The tree as a table: context, pair, depth, n, total, kinds for each pair of a context in it and a next symbol.
 
-    A context stays if its next symbols diverge from those after the context
-    without its first symbol: the gain in log likelihood must pay half a
-    logarithm of its count for each different next symbol (the Bayesian
-    criterion). Contexts are bounded by 1 / LEAST_SHARE a depth, so the driver
-    holds their counts.
+    A context of at least LEAST tokens stays if its next symbols diverge from
+    those after the context without its first symbol: the gain in log
+    likelihood must pay half a logarithm of its count for each different next
+    symbol (the Bayesian criterion). The table grows with the corpus and is
+    never gathered.
     """
-    root = totals.root()
-    least = max(2.0, LEAST_SHARE * totals.tokens)
-    symbols = np.concatenate([[_OTHER, _START], np.arange(_FIRST, len(root))])
-    wanted = {int(_contexts(np.array([s, _END]), np.array([0]), 1)[1].view(np.int64)[0]): (int(s),) for s in symbols}
-    # Of each context wanted: the distribution after the context without its first symbol.
-    after: dict[tuple[int, ...], tuple[np.ndarray, np.ndarray, float]] = {}
-    orders = []
-    for depth in range(1, DEPTH + 1):
-        known = np.sort(np.array(list(wanted), np.int64).view(_U)) if wanted else np.zeros(0, _U)
-        found = blocks.select("numbers", "sizes", "held", "words").mapInArrow(_counting(told, depth, known), "kind int, context long, symbol int, n long")
-        rows = found.groupBy("kind", "context", "symbol").agg(F.sum("n").alias("n"))
-        # Each group is one pair; those before a context matter only if the longer context is frequent.
-        rows = rows.filter((F.col("kind") == 0) | (F.col("n") >= least)).toArrow() if wanted else None
-        if rows is None or not rows.num_rows:
-            break
-        kind, context, symbol, n = (rows.column(c).to_numpy() for c in ("kind", "context", "symbol", "n"))
-        longer = {}
-        for c, s in zip(context[kind == 1].tolist(), symbol[kind == 1].tolist()):
-            path = (*wanted[c], s)
-            stream = np.array([*path[::-1], _END])
-            longer[int(_contexts(stream, np.array([0]), depth + 1)[1].view(np.int64)[-1])] = path
-        context, symbol, n = context[kind == 0], symbol[kind == 0], n[kind == 0]
-        order = np.lexsort((symbol, context))
-        context, symbol, n = context[order], symbol[order], n[order]
-        heads = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-        kept, here = [], {}
-        for a, b in zip(heads, np.append(heads[1:], len(context))):
-            total = float(n[a:b].sum())
-            path = wanted[int(context[a])]
-            here[path] = (symbol[a:b], n[a:b], total)
-            if total < least:
-                continue
-            shorter = after.get(path[:-1])
-            if shorter is None:
-                q = root[symbol[a:b]]
-            else:
-                q = np.maximum(_share(shorter, symbol[a:b]), 1e-300)
-            gain = float(np.sum(n[a:b] * np.log(n[a:b] / total / q)))
-            if gain >= 0.5 * (b - a) * np.log(total):
-                kept.append((a, b, total))
-        rows_of = np.concatenate([np.arange(a, b) for a, b, _ in kept]) if kept else np.zeros(0, np.int64)
-        hashes = context.view(_U)[[a for a, _, _ in kept]] if kept else np.zeros(0, _U)
-        by = np.argsort(hashes)
-        pair = _longer(context.view(_U)[rows_of], symbol[rows_of])
-        pairs = np.argsort(pair)
-        orders.append(Order(hashes[by], np.array([t for _, _, t in kept])[by], np.array([float(b - a) for a, b, _ in kept])[by], pair[pairs], n[rows_of][pairs].astype(float)))
-        wanted, after = longer, here
-    return SuffixTree(root, orders)
-
-
-def _share(counts: tuple[np.ndarray, np.ndarray, float], symbol: np.ndarray) -> np.ndarray:
-    held, n, total = counts
-    i = np.minimum(np.searchsorted(held, symbol), len(held) - 1)
-    return np.where(held[i] == symbol, n[i], 0) / total
-
-
-def _counting(told: pa.Array, depth: int, wanted: np.ndarray):
-    return lambda batches: _counts(batches, told, depth, wanted)
+    schema = "context long, pair long, shorter long, depth int, q double, n long"
+    found = coded.mapInArrow(lambda batches: _grams(batches, totals), schema)
+    found = found.groupBy("pair").agg(*(F.first(c).alias(c) for c in ("context", "shorter", "depth", "q")), F.sum("n").alias("n"))
+    by_context = Window.partitionBy("context")
+    found = found.withColumns({"total": F.sum("n").over(by_context), "kinds": F.count("*").over(by_context)}).filter(F.col("total") >= LEAST)
+    found = persisted(found, "suffix-pairs")
+    # A pair of a shorter context is at least as frequent, so it is in the table.
+    shares = found.filter(F.col("depth") < DEPTH).select(F.col("pair").alias("shorter"), (F.col("n") / F.col("total")).alias("share"))
+    gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.when(F.col("depth") == 1, F.col("q")).otherwise(F.col("share"))))
+    gains = found.join(shares, "shorter", "left").groupBy("context").agg(gain.alias("gain"), F.first("total").alias("t"), F.first("kinds").alias("k"))
+    kept = gains.filter(F.col("gain") >= 0.5 * F.col("k") * F.log("t")).select("context")
+    return persisted(found.join(kept, "context", "left_semi").select("context", "pair", "depth", "n", "total", "kinds"), "suffix-tree")
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def _scored(block: pa.Table, words: pa.Table, tree: SuffixTree, t: Totals) -> pa.Table:
+def _scored(block: pa.Table, branches: pa.Table, t: Totals) -> pa.Table:
+    """Scores of the texts of a block by the part of the tree that it meets."""
+    orders = []
+    pair, context, n, depths, total, kinds = (branches.column(c).to_numpy() for c in ("pair", "context", "n", "depth", "total", "kinds"))
+    pair, context = pair.view(_U), context.view(_U)
+    for depth in range(1, DEPTH + 1):
+        here = np.flatnonzero(depths == depth)
+        contexts, first = np.unique(context[here], return_index=True)
+        seen = here[n[here] > 0]
+        seen = seen[np.argsort(pair[seen])]
+        orders.append(Order(contexts, total[here[first]].astype(float), kinds[here[first]].astype(float), pair[seen], n[seen].astype(float)))
     out = []
-    number = words.column("number").to_numpy()
-    count, symbol = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-    count[number], symbol[number] = words.column("c").to_numpy(), words.column("symbol").to_numpy()
-    plain = np.log10((count + 0.1) / t.norm)
-    # A word not told apart shares the chance of its symbol by the base counts.
-    within = np.where(symbol == _OTHER, np.log10((count + 0.1) / max(t.other, 0.1)), 0.0)
     for i in range(block.num_rows):
         numbers, at = _unpacked(block, i)
-        stream, bounds = _stream(symbol[numbers], at)
+        stream, bounds, symbols, count = _local(block, i)
+        plain = np.log10((count + 0.1) / t.norm)
+        # A word not told apart shares the chance of its symbol by the base counts.
+        within = np.where(symbols[_FIRST:] == _OTHER, np.log10((count + 0.1) / max(t.other, 0.1)), 0.0)
         inner = stream != _START
-        chance = np.log10(tree.chance(stream, bounds, np.flatnonzero(inner)))
+        chance = np.log10(SuffixTree(t.root(count), orders).chance(stream, bounds, np.flatnonzero(inner), symbols))
         summed = lambda v, at=at: np.diff(np.concatenate([[0], np.cumsum(v)])[at])
         sizes = np.diff(at)
         ends = np.concatenate([[0], np.cumsum(sizes + 1)])
@@ -315,6 +288,15 @@ def _scored(block: pa.Table, words: pa.Table, tree: SuffixTree, t: Totals) -> pa
     return pa.concat_tables(out) if out else _RESULT.empty_table()
 
 
+def _coded(block: pa.Table, words: pa.Table) -> pa.Table:
+    """A block with the counts in all training texts, and the symbols, of its words by number."""
+    number = words.column("number").to_numpy()
+    count, symbol = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
+    count[number], symbol[number] = words.column("c").to_numpy(), words.column("symbol").to_numpy()
+    one = lambda a: pa.array([a], pa.list_(pa.int64()))
+    return block.append_column("counts", one(count)).append_column("symbols", one(symbol))
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """Rows not learned from: the CRC-32 of the id as text is divisible by 10. Rows without an id are learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 10 == 0, F.lit(False))
@@ -326,16 +308,17 @@ def scored_texts(documents: DataFrame) -> DataFrame:
     A text is its words (A-Z lower-cased) and one end; tokens are both. score
     is the log10 of the chance that a probabilistic suffix tree gives the
     text: the next symbol depends on the longest run of symbols before it that
-    the tree has as a context. Symbols are the start, the end, each word with
-    LEAST_SHARE of the training tokens, and one for all other words, which
+    the tree has as a context. Symbols are the start, the end, each word seen
+    LEAST times in the training texts, and one for all other words, which
     share its chance by their counts (and 0.1; all new words count as one).
     Without context the chances are those of base_score, the sum of
     log10((c + 0.1) / (N + 0.1 (V + 1))).
 
     Documents are packed into blocks of some million words as numbers of the
     block's words; word counts are summed over blocks, contexts are counted on
-    the blocks, and each block gets the counts of its own words back. No task
-    or driver needs the whole vocabulary.
+    the blocks, and each block gets the counts of its own words back, and of
+    the tree the contexts it meets. No task or driver needs the whole
+    vocabulary or the whole tree.
 
     A null text is an empty one: its only token is the end. Repeated rows
     count each. Other columns are left alone. No documents give no rows;
@@ -350,15 +333,16 @@ def scored_texts(documents: DataFrame) -> DataFrame:
     counted = listed.withColumns({"c": F.sum("n").over(by_word), "first": F.min("block").over(by_word) == F.col("block")})
     counted = persisted(counted.select("word", "block", "number", "c", "first"), "suffix-words")
     known = counted.filter("first and c > 0").select("word", "c")
-    kinds, tokens = known.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    tokens, kinds = tokens + texts, kinds + (texts > 0)
-    often = sorted(known.filter(F.col("c") >= max(2.0, LEAST_SHARE * tokens)).collect(), key=lambda r: (-r["c"], r["word"]))
-    told = pa.array([r["word"] for r in often], pa.string())
-    totals = Totals(tokens, kinds, texts, np.array([r["c"] for r in often], float))
-    tree = grow(blocks, told, totals)
-    # At most 1 / LEAST_SHARE rows.
-    symbols = docs.sparkSession.createDataFrame([(w, i + _FIRST) for i, w in enumerate(told.to_pylist())], "told string, symbol int")
-    rows = counted.join(F.broadcast(symbols), counted["word"] == symbols["told"], "left").select("block", "number", "c", F.coalesce("symbol", F.lit(_OTHER)).alias("symbol"))
+    often = F.col("c") >= LEAST
+    kinds, tokens, told = known.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.when(often, F.col("c") + F.lit(0.1).cast("double"))), F.lit(0.0))).first()
+    totals = Totals(tokens + texts, kinds + (texts > 0), texts, float(told))
+    rows = counted.select("block", "number", "c", F.when(often, F.xxhash64("word")).otherwise(_OTHER).alias("symbol"))
     packed = blocks.select("block", "ids", "held", "sizes", "numbers")
+    schema = "block long, ids array<long>, held array<boolean>, sizes array<long>, numbers binary, counts array<long>, symbols array<long>"
+    coded = persisted(packed.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(_coded, schema), "suffix-coded")
+    tree = grow(coded, totals)
+    contexts = tree.groupBy("context").agg(F.first("depth").alias("depth"), F.first("total").alias("total"), F.first("kinds").alias("kinds"))
+    met = coded.mapInArrow(_asked, "block long, context long, pair long").join(contexts, "context").join(tree.select("pair", "n"), "pair", "left")
+    met = met.select("block", "context", "pair", F.coalesce("n", F.lit(0)).alias("n"), "depth", "total", "kinds")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return packed.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(lambda a, b: _scored(a, b, tree, totals), schema)
+    return coded.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(lambda a, b: _scored(a, b, totals), schema)

@@ -171,6 +171,16 @@ def test_language_model_learns_contexts(spark):
     assert found and all(r.score > r.base_score + 10 for r in found)
 
 
+def test_language_model_tells_rare_words_apart(spark):
+    held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
+    learned = [i for i in range(held + 1, held + 100) if zlib.crc32(str(i).encode()) % 10][:50]
+    rows = [(i, " ".join(f"{i}w{j}" for j in range(1200)) + (" quill ember sprocket lantern" * (k < 3)), *[None] * 12) for k, i in enumerate(learned)]
+    found = L.scored_texts(cases.documents(spark, [*rows, (held, "quill ember sprocket lantern", *[None] * 12)])).collect()
+    # Three of 60,000 tokens a word: after each, the next one is all but certain.
+    score = next(r for r in found if r.doc_id == held)
+    assert score.train_tokens > 60_000 and score.score > score.base_score + 10
+
+
 def test_chances_sum_to_one(spark, monkeypatch):
     r = np.random.default_rng(1)
     told = np.array([50.0, 30.0, 20.0])
