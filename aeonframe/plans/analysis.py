@@ -108,8 +108,8 @@ def standardised(spark, folder):
 
 @query("STA_05_design_rows", f"""WITH {EXPANDED} SELECT pk, ord::BIGINT AS ord, list_sort(['lang=' || language, 'bin=' || ord, 'place=' || place_id]) AS terms FROM expanded WHERE pk % 50 = 0""")
 def design_rows(spark, folder):
-    """Sparse design: the terms of each record and bin. The query shows the records of every fiftieth key, as a report."""
-    rows = intervals.expand(dated(spark, folder)).filter("pk % 50 = 0")
+    """Sparse design: the terms of each record and bin."""
+    rows = intervals.expand(dated(spark, folder))
     return rows.select("pk", "ord", F.array_sort(F.array(F.concat(F.lit("lang="), "language"), F.concat(F.lit("bin="), F.col("ord").cast("string")), F.concat(F.lit("place="), F.col("place_id").cast("string")))).alias("terms"))
 
 
