@@ -96,13 +96,20 @@ def snapped(c: Column, size: float = 0.25) -> Column:
     return F.bround(c / size) * size
 
 
-def morans_i(values: DataFrame, bandwidth_km: float, reach_km: float) -> DataFrame:
-    """One row (i, n): Moran's I of values (key, lat, lon, v, weight) under Gaussian weights, cut off at reach_km."""
-    mean = values.agg((F.sum(F.col("v") * F.col("weight")) / F.sum("weight")).alias("mean"), F.count("*").alias("n"), F.sum("weight").alias("total"))
-    z = values.crossJoin(F.broadcast(mean)).withColumn("z", F.col("v") - F.col("mean"))  # one row of means
-    other = z.select(F.col("key").alias("key2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("z").alias("z2"), F.col("weight").alias("weight2"))
-    pairs = within_radius(z, other, reach_km).filter(F.col("key") != F.col("key2"))
-    w = F.exp(-F.pow(F.col("km") / bandwidth_km, 2) / 2) * F.sqrt(F.col("weight") * F.col("weight2"))
-    top = pairs.agg(F.sum(w * F.col("z") * F.col("z2")).alias("top"), F.sum(w).alias("w"))
-    bottom = z.agg(F.sum(F.col("weight") * F.col("z") * F.col("z")).alias("zz"), F.sum("weight").alias("total"), F.count("*").alias("n"))
-    return top.crossJoin(F.broadcast(bottom)).select(((F.col("top") / F.col("w")) / (F.col("zz") / F.col("total"))).alias("i"), "n")
+def morans_i(values: DataFrame, bandwidth_km: float, reach_km: float | None = None, size: float = 1.0) -> DataFrame:
+    """One row (i, n): Moran's I of values (key, lat, lon, v, weight) under weights exp(-(d / bandwidth)^2) sqrt(weight weight2).
+
+    Pairs beyond reach_km, six bandwidths if not given, are left out: each has
+    a factor below exp(-36) = 2.4e-16. Values at one place on the map meet as
+    sums, so pairs are of different places.
+    """
+    reach_km = 6 * bandwidth_km if reach_km is None else reach_km
+    mean = values.agg((F.sum(F.col("v") * F.col("weight")) / F.sum("weight")).alias("mean"))
+    z = values.crossJoin(F.broadcast(mean)).withColumns({"z": F.col("v") - F.col("mean"), "root": F.sqrt("weight")})  # one row of means
+    at = z.groupBy("lat", "lon").agg(F.sum(F.col("root") * F.col("z")).alias("a"), F.sum("root").alias("c"))
+    other = at.select(F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("a").alias("a2"), F.col("c").alias("c2"))
+    w = F.exp(-F.pow(F.col("km") / bandwidth_km, 2))
+    top = within_radius(at, other, reach_km, size).agg(F.sum(w * F.col("a") * F.col("a2")).alias("top"), F.sum(w * F.col("c") * F.col("c2")).alias("w"))
+    # A value is no neighbour of its own.
+    own = z.agg(F.sum(F.col("weight") * F.col("z") * F.col("z")).alias("own"), F.sum("weight").alias("total"), F.sum(F.col("z") * F.col("z")).alias("zz"), F.count("*").alias("n"))
+    return top.crossJoin(F.broadcast(own)).select((F.col("n") * (F.col("top") - F.col("own")) / (F.col("w") - F.col("total")) / F.col("zz")).alias("i"), "n")

@@ -47,8 +47,8 @@ p AS (SELECT a.z AS za, b.z AS zb, 2 * 6371 * asin(least(1, sqrt(power(sin((radi
 w AS (SELECT *, exp(-power(km / 40, 2) / 2) AS w FROM p WHERE km <= 120)
 SELECT round((SELECT sum(w * za * zb) / sum(w) FROM w) / (SELECT sum(weight * z * z) / sum(weight) FROM z), 6) AS i, (SELECT count(*) FROM z) AS n""")
 def morans_i(spark, folder):
-    v = places(spark, folder).filter("place_id % 3 = 0").select(F.col("place_id").alias("key"), "lat", "lon", F.col("value").alias("v"), F.lit(1.0).alias("weight"))
-    return spatial.morans_i(v, 40, 120).select(F.round("i", 6).alias("i"), "n")
+    v = places(spark, folder).select(F.col("place_id").alias("key"), "lat", "lon", F.col("value").alias("v"), F.lit(1.0).alias("weight"))
+    return spatial.morans_i(v, 40).select(F.round("i", 6).alias("i"), "n")
 
 
 @query("STA_01_cluster_bootstrap")

@@ -2,9 +2,11 @@
 
 import os
 
+import numpy as np
 import pytest
 
 from aeonframe.catalog import QUERIES
+from aeonframe.operators import spatial
 from aeonframe.plans import model
 
 FOLDER = "/root/testdata/sf0.001"
@@ -15,3 +17,25 @@ def test_design_rows_of_all_records(spark):
     dated = model.dated(spark, FOLDER).filter("ord_start is not null").select("pk", "ord_start", "ord_end", "language", "place_id").collect()
     wanted = sorted((r.pk, o, sorted([f"lang={r.language}", f"bin={o}", f"place={r.place_id}"])) for r in dated for o in range(r.ord_start, r.ord_end + 1))
     assert sorted((r.pk, r.ord, r.terms) for r in QUERIES["STA_05_design_rows"](spark, FOLDER).collect()) == wanted
+
+
+def brute_morans_i(rows, bandwidth):
+    lat, lon, v, weight = np.array(rows, float).T
+    y, x = np.radians(lat), np.radians(lon)
+    h = np.sin((y[:, None] - y) / 2) ** 2 + np.cos(y)[:, None] * np.cos(y) * np.sin((x[:, None] - x) / 2) ** 2
+    w = np.exp(-((2 * 6371 * np.arcsin(np.sqrt(h)) / bandwidth) ** 2))
+    np.fill_diagonal(w, 0)
+    w *= np.sqrt(np.outer(weight, weight))
+    z = v - np.average(v, weights=weight)
+    return len(v) / w.sum() * (w * np.outer(z, z)).sum() / (z**2).sum()
+
+
+def test_morans_i_of_all_places(spark):
+    rows = [(r.lat, r.lon, r.value, 1) for r in model.places(spark, FOLDER).collect()]
+    found = QUERIES["AGG_25_morans_i"](spark, FOLDER).collect()[0]
+    assert found.n == len(rows) and abs(found.i - brute_morans_i(rows, 40)) < 2e-6
+    r = np.random.default_rng(2)
+    # Shared places on the map and unequal weights.
+    rows = [(float(41 + r.integers(6) / 4), float(12 + r.integers(6) / 4), float(r.normal()), float(r.integers(1, 9))) for _ in range(90)]
+    values = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "key int, lat double, lon double, v double, weight double")
+    assert abs(spatial.morans_i(values, 40).collect()[0].i - brute_morans_i(rows, 40)) < 1e-9
