@@ -257,7 +257,7 @@ def damage_marks(spark, folder):
 
 @query("STR_03_encoding_audit")
 def encoding_audit(spark, folder):
-    d = table(spark, folder, "documents").select(F.col("source"), F.decode(F.encode(F.substring("text", 1, 200), "UTF-8"), "ISO-8859-1").alias("head"))
+    d = table(spark, folder, "documents").select(F.col("source"), F.decode(F.encode("text", "UTF-8"), "ISO-8859-1").alias("text"))
     return readers.encoding_audit(d)
 
 

@@ -38,7 +38,9 @@ def encoding_audit(rows: DataFrame) -> DataFrame:
     """(column, value, n): values that still look damaged, most frequent first."""
     cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in rows.columns)))
     bad = rows.select(cells.alias("c")).select("c.*").filter(looks_damaged(F.col("value")))
-    return bad.groupBy("column", "value").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "column", "value")
+    # Values may be whole texts: they are grouped by a hash.
+    found = bad.groupBy("column", F.sha2("value", 256).alias("hash")).agg(F.first("value").alias("value"), F.count("*").alias("n"))
+    return found.drop("hash").orderBy(F.col("n").desc(), "column", "value")
 
 
 _FEATURES = "type string, features array<struct<type:string,properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>"

@@ -39,3 +39,11 @@ def test_morans_i_of_all_places(spark):
     rows = [(float(41 + r.integers(6) / 4), float(12 + r.integers(6) / 4), float(r.normal()), float(r.integers(1, 9))) for _ in range(90)]
     values = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "key int, lat double, lon double, v double, weight double")
     assert abs(spatial.morans_i(values, 40).collect()[0].i - brute_morans_i(rows, 40)) < 1e-9
+
+
+def test_encoding_audit_of_whole_texts(spark, tmp_path):
+    head = "a" * 200
+    rows = [("s", head + "é one"), ("s", head + "é two"), ("s", head + "é two"), ("s", head)]
+    spark.createDataFrame(rows, "source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = QUERIES["STR_03_encoding_audit"](spark, str(tmp_path)).collect()
+    assert [(r.column, r.value, r.n) for r in found] == [("text", head + "Ã© two", 2), ("text", head + "Ã© one", 1)]
