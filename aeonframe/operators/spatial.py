@@ -49,6 +49,38 @@ def nearest_of_few(points: DataFrame, targets: DataFrame, key: str, most: int =
     return pairs.groupBy(key).agg(F.min(d).alias("km"))
 
 
+def nearest_other(points: DataFrame, key: str) -> DataFrame:
+    """(key, km): the least plane distance from each point (key, x, y) to any other; a point alone is left out.
+
+    Points meet in grid cells: a hit within a cell's width in the cells around
+    is proven nearest. Those without one go on with cells twice as wide, until
+    the cells around hold all points.
+    """
+    at = points.filter("x is not null and y is not null").groupBy("x", "y").agg(F.count("*").alias("n")).persist()
+    box = at.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
+    places = box[4]
+    wide = max(box[1] - box[0], box[3] - box[2]) if places else 0.0
+    width = wide / max(places, 1) ** 0.5
+    found = at.filter("n > 1").select("x", "y", F.lit(0.0).alias("km"))
+    todo = at.filter("n = 1").select("x", "y")
+    while places > 1:
+        last = width >= wide
+        cx, cy = cell(F.col("x") - box[0], width), cell(F.col("y") - box[2], width)
+        around = todo.select("x", "y", cx.alias("cx"), F.explode(F.sequence(cy - 1, cy + 1)).alias("cy"))
+        around = around.select("x", "y", F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)).alias("cx"), "cy")
+        other = at.select(F.col("x").alias("x2"), F.col("y").alias("y2"), cx.alias("cx"), cy.alias("cy"))
+        pairs = around.join(other, ["cx", "cy"]).filter((F.col("x") != F.col("x2")) | (F.col("y") != F.col("y2")))
+        d = F.sqrt(F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2))
+        hits = pairs.groupBy("x", "y").agg(F.min(d).alias("km"))
+        hits = (hits if last else hits.filter(F.col("km") <= width)).persist()
+        found = found.unionByName(hits)
+        todo = todo.join(hits, ["x", "y"], "left_anti").persist()
+        if last or todo.isEmpty():
+            break
+        width *= 2
+    return points.join(found, ["x", "y"]).select(key, "km")
+
+
 def edges(rings: DataFrame, ring: str, order: str, lon: str, lat: str) -> DataFrame:
     """(ring, x1, y1, x2, y2): the sides of closed rings of vertices."""
     by = Window.partitionBy(ring).orderBy(order)

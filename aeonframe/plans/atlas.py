@@ -273,8 +273,7 @@ t AS (SELECT * FROM p WHERE place_id % 10 = 0)
 SELECT p.place_id, round(min(sqrt(power(p.x - t.x, 2) + power(p.y - t.y, 2))), 6) AS km FROM p JOIN t ON p.place_id <> t.place_id GROUP BY p.place_id""")
 def nearest_other(spark, folder):
     p = places(spark, folder).select("place_id", S.plane_x(F.col("lon")).alias("x"), S.plane_y(F.col("lat")).alias("y"))
-    t = p.filter("place_id % 10 = 0").select(F.col("place_id").alias("own"), F.col("x").alias("x2"), F.col("y").alias("y2"))
-    return spatial.nearest_of_few(p, t, "place_id", self_key="own").select("place_id", F.round("km", 6).alias("km"))
+    return spatial.nearest_other(p, "place_id").select("place_id", F.round("km", 6).alias("km"))
 
 
 _RING = [(8.0, 37.0), (17.0, 38.0), (15.0, 45.0), (11.0, 41.0), (8.5, 45.5)]

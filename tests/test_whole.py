@@ -4,8 +4,10 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from aeonframe.catalog import QUERIES
+from aeonframe.functions import scalars as S
 from aeonframe.operators import spatial
 from aeonframe.plans import model
 
@@ -47,3 +49,22 @@ def test_encoding_audit_of_whole_texts(spark, tmp_path):
     spark.createDataFrame(rows, "source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = QUERIES["STR_03_encoding_audit"](spark, str(tmp_path)).collect()
     assert [(r.column, r.value, r.n) for r in found] == [("text", head + "Ã© two", 2), ("text", head + "Ã© one", 1)]
+
+
+def brute_nearest_other(rows):
+    return {k: min(float(np.hypot(x - a, y - b)) for j, a, b in rows if j != k) for k, x, y in rows}
+
+
+def test_nearest_of_all_other_places(spark):
+    p = model.places(spark, FOLDER).select("place_id", S.plane_x(F.col("lon")), S.plane_y(F.col("lat")))
+    wanted = brute_nearest_other([tuple(r) for r in p.collect()])
+    found = {r.place_id: r.km for r in QUERIES["JON_10_nearest_other"](spark, FOLDER).collect()}
+    assert set(found) == set(wanted) and all(abs(found[k] - wanted[k]) < 2e-6 for k in wanted)
+    r = np.random.default_rng(3)
+    # A dense spot, far single points, shared places.
+    spots = [*r.normal(0, 0.01, (60, 2)).tolist(), *r.uniform(-900, 900, (20, 2)).tolist(), [5.0, 5.0], [5.0, 5.0], [90_000.0, -4e4]]
+    rows = [(i, float(x), float(y)) for i, (x, y) in enumerate(spots)]
+    wanted = brute_nearest_other(rows)
+    found = {r.k: r.km for r in spatial.nearest_other(spark.createDataFrame(rows, "k int, x double, y double"), "k").collect()}
+    assert set(found) == set(wanted) and all(abs(found[k] - wanted[k]) < 1e-9 for k in wanted)
+    assert spatial.nearest_other(spark.createDataFrame(rows[:1], "k int, x double, y double"), "k").count() == 0
