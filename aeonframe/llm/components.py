@@ -27,10 +27,12 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             labels = hook.select(F.col("a").alias("node"), F.col("to").alias("component"))
         else:
             moved = labels.join(hook, labels["component"] == hook["a"], "left")
-            labels = persisted(moved.select("node", F.coalesce("to", "component").alias("component")), f"{label}-labels")
+            labels = moved.select("node", F.coalesce("to", "component").alias("component"))
         at_b = hook.select(F.col("a").alias("b"), F.col("to").alias("to_b"))
         moved = both.join(hook, "a").join(at_b, "b").filter("to <> to_b")
         both = persisted(moved.select(F.col("to").alias("a"), F.col("to_b").alias("b")).distinct(), f"{label}-edges")
+        if both.isEmpty():
+            break
     if labels is None:
         return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return labels
+    return persisted(labels, f"{label}-labels")

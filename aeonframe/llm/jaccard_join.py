@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from itertools import combinations
@@ -15,12 +16,13 @@ from .storage import persisted
 from .words import Chunk, Hasher, chunks, mix, ragged_take
 
 _U = np.uint64
-SKETCH_BITS = 18
 NEEDED_BITS = 23
 #: A set of this size is the largest that may count as small.
 SMALL_AT_MOST = 16
-#: Elements of the sets of a block; a larger cluster is compared block by block.
-BLOCK_ELEMENTS = 1 << 19
+#: Lists of more sets count as long.
+LONG = 16
+#: Lists are looked at again with other leaders while their pairs are more than so many times their entries.
+PAIRS_AN_ENTRY = 4
 
 
 def least_overlap(a: int, b: int, percent: int) -> int:
@@ -55,18 +57,66 @@ def _signature(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _profile(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """A row (bucket -1) for each document; at the end the buckets of shingles seen unusually often."""
+    """Size and signature of the set of each document."""
     hasher = Hasher()
-    seen = np.zeros(1 << SKETCH_BITS, np.int64)
     for batch in batches:
         for rows, c in chunks(batch.column(1), lower=True):
             h, bounds, _ = shingles(c, hasher, k)
-            seen += np.bincount((h >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(seen))
             s1, s2 = _signature(h, bounds)
-            yield pa.record_batch({"doc_id": batch.column(0).slice(rows.start, rows.stop - rows.start), "n": np.diff(bounds).astype(np.int64), "s1": s1, "s2": s2, "bucket": np.full(c.rows, -1, np.int32)})
-    often = np.flatnonzero(seen >= 16 + 3 * seen.mean()).astype(np.int32)
-    none = pa.nulls(len(often), pa.int64())
-    yield pa.record_batch({"doc_id": none, "n": seen[often], "s1": none, "s2": none, "bucket": often})
+            yield pa.record_batch({"doc_id": batch.column(0).slice(rows.start, rows.stop - rows.start), "n": np.diff(bounds).astype(np.int64), "s1": s1, "s2": s2})
+
+
+class Classes:
+    """Classes of sizes, such that sets similar enough are of the same class or the next.
+
+    Sets of class i meet as the smaller one in instance i, and as the larger
+    one in instance i - 1. In an instance the hash space is cut into `parts`
+    equal ranges, more than the `apart` elements that only one of two similar
+    sets may have: so they agree in some range.
+    """
+
+    def __init__(self, percent: int, most: int = 1 << 40):
+        first = [1]
+        while first[-1] <= most:
+            first.append(max(first[-1] * 100 // percent + 1, first[-1] + first[-1] // 8))
+        self.percent = percent
+        self.first = np.array(first, np.int64)
+        last = self.first[1:] - 1
+        self.apart = np.append((last + last * 100 // percent) * (100 - percent) // (100 + percent), 0)
+        self.parts = self.apart + self.apart // 8 + 3
+
+    def keys(self, h: np.ndarray, bounds: np.ndarray, row: np.ndarray, larger: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the inverted lists that each set is in, their bounds, and how many ranges hold elements.
+
+        A key is a range with all the set's elements in it. Only sets that
+        have so few elements that the ranges without any could be all in which
+        they agree are in the lists of the elements of their prefix, too.
+        """
+        n = np.diff(bounds)
+        instance = np.searchsorted(self.first, n, "right") - 1 - larger
+        use = (n > 0) & (instance >= 0)
+        parts, apart = np.where(use, self.parts[instance], 0), np.where(use, self.apart[instance], 0)
+        part = ((h >> _U(32)) * parts.astype(_U)[row]) >> _U(32)
+        new = np.ones(len(h), bool)
+        new[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1])
+        at = np.flatnonzero(new)
+        at = at[use[row[at]]]
+        ends = np.searchsorted(np.append(np.flatnonzero(new), len(h)), at, "right")
+        ends = np.append(np.flatnonzero(new), len(h))[ends]
+        total = np.zeros(len(h) + 1, _U)
+        np.cumsum(mix(h ^ _U(0x8EBC6AF09C88C6E3)), out=total[1:])
+        of = row[at]
+        salt = mix(instance.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(7))
+        keys = mix(total[ends] - total[at] + part[at] * _U(0xAF251AF3B0F025B5) + salt[of])
+        filled = np.bincount(of, minlength=len(n))
+        few = np.flatnonzero(use & (filled <= apart))
+        if len(few):
+            more, cut = ragged_take(h, bounds[few], n[few] - -(-self.percent * n[few] // 100) + 1)
+            of = np.concatenate([of, np.repeat(few, np.diff(cut))])
+            keys = np.concatenate([keys, mix(more ^ salt[of[len(keys) :]])])
+            order = np.argsort(of, kind="stable")
+            of, keys = of[order], keys[order]
+        return keys, np.searchsorted(of, np.arange(len(n) + 1)), filled
 
 
 def _subset_keys(sets: np.ndarray, a: int, b: int, size: int) -> np.ndarray:
@@ -82,36 +132,36 @@ def plan_small(sizes: dict[int, int], percent: int) -> int:
     """The boundary: the largest size that counts as small, where the estimated cost is least.
 
     A small set costs one row for each subset that it enumerates; a large set,
-    and a small one that may have a large partner, costs four for each of its
-    entries in the inverted lists, as these are also scanned and verified.
+    and a small one that may have a large partner, costs two for each of its
+    inverted lists, as these are also scanned and verified.
     """
+    classes = Classes(percent, 1 << 20)
 
     def subsets(a: int, most: int) -> int:
         return sum(math.comb(a, c) for b in range(1, most + 1) if (c := least_overlap(a, b, percent)) <= min(a, b))
 
+    def lists(a: int) -> int:
+        at = int(np.searchsorted(classes.first, a, "right")) - 1
+        return sum(min(a, int(classes.parts[i])) for i in (at - 1, at) if i >= 0)
+
     def cost(most: int) -> int:
         from_ = -(-percent * (most + 1) // 100)
-        return sum(n * (subsets(a, most) * (a <= most) + 4 * prefix_size(a, percent) * (a >= from_)) for a, n in sizes.items())
+        return sum(n * (subsets(a, most) * (a <= most) + 2 * lists(a) * (a >= from_)) for a, n in sizes.items())
 
     return min(range(SMALL_AT_MOST + 1), key=cost)
 
 
-def shared_least(n):
-    """A set of n elements shows that many common elements within its prefix at least."""
-    return 1 + n // 32
-
+#: What a row of a list says besides its key and set: the size of the set, how many ranges it fills, and in which part it is there.
+_SMALLER, _SUBSET_SMALLER, _SUBSET_LARGER, _LARGER = range(4)
 
-def prefix_size(n, percent: int):
-    return np.minimum(n, n - -(-percent * n // 100) + shared_least(n)) if isinstance(n, np.ndarray) else min(n, n - -(-percent * n // 100) + shared_least(n))
 
+def _entries(batches: Iterator[pa.RecordBatch], k: int, percent: int, small: int) -> Iterator[pa.RecordBatch]:
+    """Keys of subsets of small sets, and of the inverted lists of sets that are not small or may have a partner that is not."""
+    hasher, classes = Hasher(), Classes(percent)
 
-def _entries(batches: Iterator[pa.RecordBatch], k: int, percent: int, small: int, level: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """part 0: prefix elements for the inverted lists; 1 and 2: subset keys as the smaller (or equal) and as the larger set."""
-    hasher = Hasher()
-
-    def out(ids: pa.Array, s1: np.ndarray, n: np.ndarray, part: int, keys: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+    def out(ids: pa.Array, s1: np.ndarray, n: np.ndarray, filled: np.ndarray, part: int, keys: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
         lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(keys.view(np.int64)))
-        return pa.record_batch({"doc_id": ids, "s1": s1, "n": n.astype(np.int32), "part": np.full(len(n), part, np.int8), "keys": lists})
+        return pa.record_batch({"doc_id": ids, "s1": s1, "info": (n.astype(np.int64) << 32) | (filled << 2) | part, "keys": lists})
 
     for batch in batches:
         for rows, c in chunks(batch.column(1), lower=True):
@@ -123,16 +173,18 @@ def _entries(batches: Iterator[pa.RecordBatch], k: int, percent: int, small: int
                 if not len(mine := np.flatnonzero(n == a)):
                     continue
                 sets = h[bounds[mine][:, None] + np.arange(a)]
-                for part, partners in ((1, range(a, small + 1)), (2, range(1, a))):
+                for part, partners in ((_SUBSET_SMALLER, range(a, small + 1)), (_SUBSET_LARGER, range(1, a))):
                     keys = [_subset_keys(sets, min(a, b), max(a, b), size) for b in partners if (size := least_overlap(a, b, percent)) <= min(a, b)]
                     if keys:
                         keys = np.concatenate(keys, axis=1)
-                        yield out(ids.take(pa.array(mine)), s1[mine], n[mine], part, keys.ravel(), np.arange(len(mine) + 1) * keys.shape[1])
-            mine = np.flatnonzero(n >= max(1, -(-percent * (small + 1) // 100)))
-            rank = (level[(h >> _U(64 - SKETCH_BITS)).astype(np.int64)] << _U(58)) | (h >> _U(6))
-            ordered = h[np.lexsort((rank, row))]
-            keys, at = ragged_take(ordered, bounds[mine], prefix_size(n[mine], percent))
-            yield out(ids.take(pa.array(mine)), s1[mine], n[mine], 0, keys, at)
+                        yield out(ids.take(pa.array(mine)), s1[mine], n[mine], np.zeros(len(mine), np.int64), part, keys.ravel(), np.arange(len(mine) + 1) * keys.shape[1])
+            least = max(1, -(-percent * (small + 1) // 100))
+            for part in (_SMALLER, _LARGER):
+                keys, at, filled = classes.keys(h, bounds, row, part == _LARGER)
+                mine = np.flatnonzero((n >= least) & (np.diff(at) > 0))
+                if len(mine) < len(n):
+                    keys, at = ragged_take(keys, at[mine], np.diff(at)[mine])
+                yield out(ids.take(pa.array(mine)), s1[mine], n[mine], filled[mine], part, keys, at)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int, bits: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -159,81 +211,6 @@ def _whole_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return sets.join(ids, sets["doc_id"] == ids["id"], "left_semi")
 
 
-def _close(percent: int) -> str:
-    """What `common` prefix elements of sets of n and m elements must reach for a link.
-
-    If the prefix of one set ends first in the global order, its common
-    elements that aren't in both prefixes stand behind its prefix.
-    """
-    rest = "({x} - least({x}, {x} - ({p} * {x} + 99) div 100 + 1 + {x} div 32))"
-    n, m = rest.format(x="n", p=percent), rest.format(x="m", p=percent)
-    return f"least(n, m) * 100 >= greatest(n, m) * {percent} and common >= greatest(1, ({percent} * (n + m) + {99 + percent}) div {100 + percent} - greatest({n}, {m}))"
-
-
-def _block_links(values: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between sets numbered left and right, as far as they join what other links leave apart.
-
-    The sets on the left are held one by one against the inverted lists of
-    those on the right.
-    """
-    size = np.diff(bounds)
-    flat, at = ragged_take(values, bounds[right], size[right])
-    owner = np.repeat(np.arange(len(right)), size[right])
-    order = np.argsort(flat, kind="stable")
-    keys, owner = flat[order], owner[order]
-    parent = {int(x): int(x) for x in np.concatenate([left, right])}
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for x in left:
-        own = values[bounds[x] : bounds[x + 1]]
-        a, b = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
-        common = np.bincount(ragged_take(owner, a, b - a)[0], minlength=len(right))
-        for y in right[common * (100 + percent) >= percent * (size[x] + size[right])]:
-            if (p := root(int(x))) != (q := root(int(y))):
-                parent[p] = q
-                out.append((int(x), int(y)))
-    return out
-
-
-def _cluster_links(table: pa.Table, percent: int) -> pa.Table:
-    """Links of one group of sets: whole clusters (i = -1), or two blocks (or twice the same) of a large one."""
-    lists = table.column("elements").combine_chunks()
-    values, bounds = lists.values.to_numpy(), lists.offsets.to_numpy().astype(np.int64)
-    ids, block, cluster = (table.column(c).to_numpy() for c in ("doc_id", "block", "cluster"))
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    links = []
-    if i < 0:
-        order = np.argsort(cluster, kind="stable")
-        for some in np.split(order, np.flatnonzero(np.diff(cluster[order])) + 1):
-            links += _block_links(values, bounds, some, some, percent)
-    else:
-        links = _block_links(values, bounds, np.flatnonzero(block == i), np.flatnonzero(block == j), percent)
-    at = np.array(links, np.int64).reshape(-1, 2)
-    return pa.table({"u": pa.array(ids[at[:, 0]], pa.int64()), "v": pa.array(ids[at[:, 1]], pa.int64())})
-
-
-def _within_clusters(clusters: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (u, v) between the sets of each cluster (node, component)."""
-    sets = _whole_sets(clusters.select(F.col("node").alias("id")), docs, k)
-    sets = sets.join(clusters, sets["doc_id"] == clusters["node"]).select("doc_id", "elements", F.col("component").alias("cluster"))
-    sets = persisted(sets, "jaccard-cluster-sets")
-    weight = sets.groupBy("cluster").agg(F.sum(F.size("elements")).cast("long").alias("weight"))
-    total = weight.agg(F.sum("weight")).first()[0] or 0
-    groups = int(total // BLOCK_ELEMENTS + 1)
-    sized = sets.join(weight, "cluster").withColumn("blocks", F.ceil(F.col("weight") / BLOCK_ELEMENTS).cast("int"))
-    sized = sized.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    whole = F.array(F.struct(F.pmod(F.xxhash64("cluster"), F.lit(groups)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j")))
-    dealt = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.col("cluster").alias("g"), F.least(b, "block").alias("i"), F.greatest(b, "block").alias("j")))
-    dealt = sized.select("doc_id", "elements", "cluster", "block", F.explode(F.when(F.col("blocks") == 1, whole).otherwise(dealt)).alias("to")).select("doc_id", "elements", "cluster", "block", "to.*")
-    return dealt.groupBy("g", "i", "j").applyInArrow(lambda t: _cluster_links(t, percent), "u long, v long")
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, label: str) -> DataFrame:
     """Those of the pairs (u, v) whose sets, made again from the texts, are similar enough."""
     pairs = persisted(pairs.select("u", "v").distinct(), f"{label}-candidates")
@@ -244,9 +221,43 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int, label: st
     return both.filter(common * (100 + percent) >= percent * (F.size("x") + F.size("y"))).select("u", "v").distinct()
 
 
-def _placed(lists: DataFrame, clusters: DataFrame) -> DataFrame:
-    """(key, rep, n, c): the lists with the cluster of each set, itself if it has none."""
-    return lists.select("key", "rep", "n").join(clusters, lists["rep"] == clusters["node"], "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("c"))
+def _differ(sizes: str, percent: int) -> str:
+    """So many elements at most are only in one of two similar sets of together that size."""
+    return f"(({sizes}) * {100 - percent} div {100 + percent})"
+
+
+def _without_long(lists: DataFrame, percent: int) -> DataFrame:
+    """Each set without its longest lists, as many as it can miss; dropped says how many those are.
+
+    A set that fills f ranges agrees with a similar one in at least f less
+    those that may differ. With lists in one order, short ones first, as many
+    less one can be left out at the end: similar sets still meet in a list.
+    Only long ones are left out, and sets that are in too few lists.
+    """
+    of_set = Window.partitionBy("rep", "smaller")
+    lists = lists.withColumns({"met": F.count("*").over(of_set), "longs": F.count(F.when(F.col("len") > LONG, 1)).over(of_set), "at": F.row_number().over(of_set.orderBy(F.desc("len"), "key"))})
+    lists = lists.withColumn("need", F.expr(f"greatest(1, f - {_differ(f'n + if(smaller, n * 100 div {percent}, n)', percent)})")).filter("met >= need")
+    lists = lists.withColumn("dropped", F.least("longs", F.col("need") - 1)).filter("at > dropped")
+    central = F.min(F.when(F.col("smaller"), F.struct((F.col("f") - F.col("met")).alias("own"), "rep"))).over(Window.partitionBy("key"))
+    return lists.withColumn("leader", central["rep"]).drop("met", "longs", "at", "need", "len")
+
+
+def _apart_still(open_sets: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (u, v) of sets (rep, n, c) of different clusters c that may be similar enough.
+
+    The lists of the single elements in the prefixes of these sets, seldom
+    elements first: what two sets share from one of them on must be enough.
+    """
+    sets = _whole_sets(open_sets.select(F.col("rep").alias("id")), docs, k)
+    each = sets.join(open_sets, sets["doc_id"] == open_sets["rep"]).select("rep", "n", "c", F.explode("elements").alias("key"))
+    of_key, of_set = Window.partitionBy("key"), Window.partitionBy("rep")
+    each = each.withColumns({"len": F.count("*").over(of_key), "low": F.min("c").over(of_key), "high": F.max("c").over(of_key)}).filter("len > 1")
+    # Elements of one set only stand first.
+    each = each.withColumn("after", F.col("n") - F.row_number().over(of_set.orderBy("len", "key")) + 1 - (F.col("n") - F.count("*").over(of_set)))
+    each = each.filter(f"low <> high and after * 100 >= n * {percent}").select("key", "rep", "n", "c", "after")
+    each = persisted(each, "jaccard-prefixes")
+    x, y = (each.select("key", *(F.col(a).alias(b) for a, b in zip(("rep", "n", "c", "after"), names))) for names in (("u", "n", "c", "p"), ("v", "m", "d", "q")))
+    return x.join(y, "key").filter(f"u < v and c <> d and least(p, q) * {100 + percent} >= {percent} * (n + m)").select("u", "v").distinct()
 
 
 def near_copies(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -260,16 +271,18 @@ def near_copies(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     Size-aware heavy-light join: rows with equal sets become one
     representative first. Small sets enumerate their subsets of the size that
     a pair of their sizes must share, so a common subset is a link. Large sets
-    go to inverted lists under a prefix of their elements in one global order
-    (seldom ones first, by a sketch of fixed size; any order is right). The
-    boundary is where the estimated cost is least (plan_small).
-
-    Scanning a list never makes all its pairs. Each set is held against one
-    leader of a list first; sets that share a part of their prefix with a
-    leader, or with leaders of one cluster, become a cluster, and the whole sets of a cluster are compared in
-    one place, or block by block where a cluster is large, which yields only
-    links that join what was apart. Then lists are looked at again only as far
-    as they hold sets of several clusters, so no link is lost. All links are
+    go to inverted lists. The lists of single elements grow with the square
+    of what is common in a corpus, so a list is one of a range of the hash
+    space and all the elements that a set has there; the ranges are more than
+    the elements that two similar sets may differ in, so these have a list in
+    common, in proportion to their likeness (Classes). The boundary is where
+    the estimated cost is least (plan_small).
+
+    Scanning a list never makes all its pairs. Each set is first held against
+    the leader of its lists that it meets most often; links make clusters. As
+    long as lists with several clusters would give many pairs, other clusters
+    lead them. Pairs are made only of what then is in one list and in several
+    clusters, by how often they meet, so no link is lost. All links are
     verified on whole sets. Sets are of 64-bit hashes.
 
     A null text is an empty one; empty documents link with nothing and are
@@ -278,55 +291,46 @@ def near_copies(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     texts; other columns are left alone.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    profile = persisted(docs.mapInArrow(lambda it: _profile(it, k), "doc_id long, n long, s1 long, s2 long, bucket int"), "jaccard-profile")
-    level = np.zeros(1 << SKETCH_BITS, _U)
-    for bucket, seen in profile.filter("bucket >= 0").groupBy("bucket").agg(F.sum("n")).collect():
-        level[bucket] = min(31, int(seen).bit_length())
-    rows = profile.filter("bucket = -1")
+    rows = persisted(docs.mapInArrow(lambda it: _profile(it, k), "doc_id long, n long, s1 long, s2 long"), "jaccard-profile")
     histogram = rows.filter("n > 0").groupBy(F.least("n", F.lit(4 * SMALL_AT_MOST)).alias("n")).count()
     small = plan_small({n: count for n, count in histogram.collect()}, percent)
 
     by_set = rows.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
     by_set = persisted(by_set, "jaccard-representatives")
-    made = docs.filter("doc_id is not null").mapInArrow(lambda it: _entries(it, k, percent, small, level), "doc_id long, s1 long, n int, part byte, keys array<long>")
-    reps = by_set.select(F.col("rep").alias("doc_id"), "s1")
-    entries = made.join(reps, ["doc_id", "s1"], "left_semi").select(F.explode("keys").alias("key"), "part", F.col("doc_id").alias("rep"), "n")
-
-    entries = entries.withColumn("bucket", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent)).cast("int") if percent < 100 else F.col("n"))
-    of_list, of_bucket = Window.partitionBy("key"), Window.partitionBy("key", "bucket")
-    # By list first: rows dealt by list serve the buckets of a list, too.
-    entries = entries.withColumns({"first": F.min("rep").over(of_list), "last": F.max("rep").over(of_list), "smaller": F.min(F.when(F.col("part") == 1, F.col("rep"))).over(of_list)})
-    entries = entries.filter("first <> last").withColumn("leader", F.min(F.struct("rep", "n")).over(of_bucket))
-    shared = persisted(entries.drop("first", "last", "bucket"), "jaccard-lists")
-
-    light = shared.filter("part > 0 and smaller <> rep").select(F.col("smaller").alias("u"), F.col("rep").alias("v")).distinct()
-    scanned = shared.filter("part = 0")
-    # Clusters may be too large but not too small: a share of the common elements is enough.
-    enough = "common >= greatest(1, least(n, n - ({p} * n + 99) div 100 + 1 + n div 32) div 6)".format(p=percent)
-    star = scanned.filter("leader.rep <> rep").groupBy(F.col("leader.rep").alias("u"), F.col("rep").alias("v"), "n").agg(F.count("*").alias("common")).filter(enough)
-    near = persisted(components(star.select("u", "v"), "jaccard-stars"), "jaccard-stars")
-    placed = _placed(scanned, near)
-    first = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
-    stray = placed.join(first, "key").filter("low <> c").groupBy("rep", "n", "c", "low").agg(F.count("*").alias("common")).filter(enough)
-    merged = components(stray.select(F.col("c").alias("u"), F.col("low").alias("v")).union(near.select("node", "component")), "jaccard-clusters")
-    known = persisted(merged, "jaccard-clusters")
-    edges = persisted(light.union(_within_clusters(known, docs, k, percent)), "jaccard-edges")
-
-    sizes = known.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("s"))
-    placed = _placed(scanned, known)
-    mixed = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("key")
-    placed = placed.join(mixed, "key", "left_semi").join(sizes, "c", "left").withColumn("s", F.coalesce("s", F.lit(1)))
-    placed = persisted(placed, "jaccard-open")
-    # From the smaller cluster to the larger: a set goes on to the members of another cluster only if
-    # it meets that cluster in as many lists as a link to one of them would need.
-    heads = placed.select("key", F.col("c").alias("d"), F.col("s").alias("e")).distinct()
-    toward = placed.join(heads, "key").filter("s < e or s = e and c < d").groupBy("rep", "n", "d").agg(F.count("*").alias("common"))
-    toward = toward.filter(f"common >= 1 + ({percent} * n div 100) div 32").select("rep", "d")
-    other = placed.select("key", F.col("rep").alias("v"), F.col("n").alias("m"), F.col("c").alias("d"))
-    pairs = placed.join(toward, "rep").join(other, ["key", "d"]).filter(f"least(n, m) * 100 >= greatest(n, m) * {percent}")
-    pairs = pairs.groupBy(F.col("rep").alias("u"), "n", "v", "m").agg(F.count("*").alias("common")).filter(_close(percent))
-    late = persisted(_verified(pairs, docs, k, percent, "jaccard-rest"), "jaccard-late")
-    found = components(edges.union(late), "jaccard-all")
+    copies = rows.filter("n > 0").join(by_set, ["s1", "s2", "n"]).filter("doc_id <> rep").select("doc_id", "s1").distinct()
+    copies = persisted(copies, "jaccard-copies")
+    made = docs.filter("doc_id is not null").mapInArrow(lambda it: _entries(it, k, percent, small), "doc_id long, s1 long, info long, keys array<long>")
+    entries = made.join(copies, ["doc_id", "s1"], "left_anti").select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"), "info")
+
+    of_list, part = Window.partitionBy("key"), F.col("info").bitwiseAND(3)
+    leads = F.when(part.isin(_SMALLER, _SUBSET_SMALLER), F.col("rep"))
+    entries = entries.withColumns({"first": F.min("rep").over(of_list), "last": F.max("rep").over(of_list), "least": F.min(leads).over(of_list), "len": F.count("*").over(of_list)})
+    shared = persisted(entries.filter("first <> last and least is not null").drop("first", "last"), "jaccard-lists")
+    in_subsets = part.isin(_SUBSET_SMALLER, _SUBSET_LARGER)
+    light = shared.filter(in_subsets).filter("least <> rep").select(F.col("least").alias("u"), F.col("rep").alias("v")).distinct()
+    size, filled = F.shiftright("info", 32), F.shiftright("info", 2).bitwiseAND((1 << 30) - 1)
+    lists = shared.filter(~in_subsets).select("key", "rep", size.alias("n"), filled.alias("f"), (part == _SMALLER).alias("smaller"), "len")
+    open_, edges, before = persisted(_without_long(lists, percent), "jaccard-lists-kept"), light, math.inf
+    for turn in itertools.count():
+        # A share of the lists is enough to try a leader: what is left out here comes up again.
+        tried = open_.filter("leader <> rep").groupBy(F.col("rep").alias("v"), F.col("leader").alias("u")).agg(F.count("*").alias("common"), *(F.first(c).alias(c) for c in ("n", "f", "dropped")))
+        tried = tried.filter(f"3 * common >= f - dropped - {_differ('2 * n', percent)}").groupBy("v").agg(F.max_by("u", F.struct("common", -F.col("u"))).alias("u"))
+        edges = persisted(edges.union(_verified(tried, docs, k, percent, f"jaccard-{turn}")), f"jaccard-edges-{turn}")
+        found = components(edges, f"jaccard-found-{turn}")
+        placed = open_.drop("leader", "c").join(found, open_["rep"] == found["node"], "left").withColumn("c", F.coalesce("component", "rep")).drop("node", "component")
+        leads = F.min(F.when(F.col("smaller"), F.struct(F.xxhash64("c", F.lit(turn)), "c", "rep"))).over(of_list)
+        placed = placed.withColumns({"low": F.min("c").over(of_list), "high": F.max("c").over(of_list), "leads": leads}).filter("low <> high and leads is not null")
+        placed = placed.withColumn("leader", F.when(F.col("leads.c") == F.col("c"), F.col("rep")).otherwise(F.col("leads.rep")))
+        open_ = persisted(placed.drop("low", "high", "leads"), f"jaccard-open-{turn}")
+        of_cluster = open_.groupBy("key", "c").agg(F.count("*").alias("s"))
+        of_key = of_cluster.groupBy("key").agg(F.sum("s").alias("t"), F.sum(F.col("s") * F.col("s")).alias("q"))
+        entries_left, pairs_left = of_key.agg(F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum((F.col("t") * F.col("t") - F.col("q")) / 2), F.lit(0))).first()
+        if pairs_left <= PAIRS_AN_ENTRY * entries_left or pairs_left > 0.8 * before:
+            break
+        before = pairs_left
+    pairs = _apart_still(open_.groupBy("rep").agg(F.first("n").alias("n"), F.first("c").alias("c")), docs, k, percent)
+    late = _verified(pairs, docs, k, percent, "jaccard-rest")
+    found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late), "jaccard-all")
 
     whole = by_set.join(found, by_set["rep"] == found["node"], "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("component"))
     placed_rows = rows.join(whole, ["s1", "s2", "n"], "left")

@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+import numpy as np
+
 from aeonframe.llm import components as C, decontamination as D, jaccard_join as J, repeats as R
 from tests.llm import cases
 
@@ -48,14 +50,40 @@ def test_jaccard_join_of_many_near_copies(spark):
     assert found == jaccard_by_force(rows)
 
 
-def test_blocks_of_a_large_cluster(spark, monkeypatch):
-    monkeypatch.setattr(J, "BLOCK_ELEMENTS", 300)
+def test_long_lists_of_a_large_cluster(spark, monkeypatch):
+    monkeypatch.setattr(J, "LONG", 2)
     r = random.Random(6)
     base = cases.passage(9, 90)
     rows = [(i, " ".join(w if r.random() > 0.015 else f"e{r.randint(0, 9)}" for w in base), *[None] * 12) for i in range(60)]
     assert {tuple(x) for x in J.near_copies(cases.documents(spark, rows)).collect()} == jaccard_by_force(rows)
 
 
+def test_similar_sets_meet_in_a_range():
+    r = np.random.default_rng(3)
+    for percent in (50, 80, 95, 100):
+        classes = J.Classes(percent)
+        for n in (1, 2, 5, 9, 17, 40, 133, 700):
+            whole = np.unique(r.integers(0, 1 << 63, 2 * n).astype(np.uint64))
+            x = np.sort(whole[:n])
+            m = int(r.integers(n, n * 100 // percent + 1))
+            common = max(J.least_overlap(n, m, percent), n + m - len(whole))
+            y = np.sort(np.concatenate([r.permutation(x)[:common], whole[n : n + m - common]]))
+            h, bounds, row = np.concatenate([x, y]), np.array([0, n, n + m]), np.repeat([0, 1], [n, m])
+            keys, at, _ = classes.keys(h, bounds, row, False)
+            others, to, _ = classes.keys(h, bounds, row, True)
+            mine = set(keys[at[0] : at[1]])
+            assert mine & (set(keys[at[1] : at[2]]) | set(others[to[1] : to[2]])), (percent, n, m)
+
+
+def test_sets_of_few_words_and_chains(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[i * 3 : i * 3 + 60]), *[None] * 12) for i in range(40)]
+    rows += [(100 + i, " ".join(r.choice("abc") for _ in range(r.randint(3, 80))), *[None] * 12) for i in range(80)]
+    rows += [(300 + i, " ".join(words[: 100 + 12 * i]), *[None] * 12) for i in range(20)]
+    assert {tuple(x) for x in J.near_copies(cases.documents(spark, rows)).collect()} == jaccard_by_force(rows)
+
+
 def test_jaccard_join_of_nothing(spark):
     assert J.near_copies(cases.documents(spark, [])).count() == 0
     assert J.near_copies(cases.documents(spark, [(1, None, *[None] * 12)])).collect()[0].component_id == 1
