@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .storage import persisted
+from .storage import persisted, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1.0, 2.0, 3.0)
@@ -90,10 +90,14 @@ def mixed(documents: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
     nearest = summed.groupBy("source").agg(F.min(F.struct(F.abs(F.col("lacks") - F.col("until")).alias("off"), "key")).alias("n"), F.min("key").alias("first"), F.first(F.col("lacks") - F.col("before")).alias("without"))
     # Taking none of the bin may come nearest; then the cut is before its first key.
     cut = nearest.select("source", F.when(F.col("n.off") <= F.col("without"), F.col("n.key")).alias("last"), "first")
-    cuts = persisted(beside(targets, cut, "left"), "mixing-cuts").withColumnRenamed("source", "_source")
-
-    placed = docs.join(cuts, docs["source"].eqNullSafe(cuts["_source"]), "left").drop("_source")
-    key = pareto_key(F.col("inclusion"), *identity)
-    more = F.coalesce((F.col("inclusion") > 0) & F.when(F.col("last").isNotNull(), key <= F.col("last")).otherwise(key < F.col("first")), F.lit(False))
-    placed = placed.withColumn("copies", (F.col("certain") + more.cast("int")).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return placed.select(*[c for c in docs.columns if c != "size"], *added)
+    cuts = persisted(beside(targets, cut, "left"), "mixing-cuts")
+    of, at = unused(docs, "_source", "_cut")
+    cuts = cuts.select(F.col("source").alias(of), F.struct(*cuts.columns).alias(at))
+
+    placed = docs.join(cuts, docs["source"].eqNullSafe(cuts[of]), "left")
+    key = pareto_key(F.col(at)["inclusion"], *identity)
+    chosen = F.when(F.col(at)["last"].isNotNull(), key <= F.col(at)["last"]).otherwise(key < F.col(at)["first"])
+    more = F.coalesce((F.col(at)["inclusion"] > 0) & chosen, F.lit(False))
+    copies = (F.col(at)["certain"] + more.cast("int")).cast("long")
+    values = [F.col("size"), F.col(at)["source_size"], F.col(at)["target"], copies, copies * F.col("size")]
+    return placed.select(*[docs[c] for c in docs.columns if c != "size"], *(v.alias(name) for v, name in zip(values, added)))
