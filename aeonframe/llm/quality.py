@@ -221,8 +221,8 @@ def quality_scores(documents: DataFrame, field: Field, threshold: float = 0.7) -
 
 
 def held_out(doc_id: str = "doc_id"):
-    """Rows never learned from: the CRC-32 of the id as text leaves 2 when divided by 4."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+    """Rows never learned from: the CRC-32 of the id as text leaves 2 when divided by 4. False for a row without an id."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def without_bad(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
