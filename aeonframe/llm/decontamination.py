@@ -86,44 +86,71 @@ def best_match(item: list[str], errors: int, words: list[str]) -> tuple[int, int
     return least, start, end + 1
 
 
-def _matches(batches: Iterator[pa.RecordBatch], items: Items, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+def _found(text: str, items: Items, machine: ahocorasick.Automaton) -> list[tuple[int, int, int, int, int]]:
+    """(number of the item, distance, its words, start, end) of each item in the text."""
+    hits = list(machine.iter(_BETWEEN.sub(" ", f" {lowered(text)} "))) if text else []
+    if not hits:
+        return []
+    out = []
+    words, spans = words_of(text)
+    windows: dict[int, list[tuple[int, int]]] = {}
+    # The number of the word before which each hit ends.
+    starts = [0]
+    for w in words:
+        starts.append(starts[-1] + len(w) + 1)
+    number = {s: i for i, s in enumerate(starts)}
+    for end, (size, places) in hits:
+        first = number[end] - size
+        for n, at in places:
+            e = items.errors[n]
+            windows.setdefault(n, []).append((max(0, first - at - e), min(len(words), first - at + len(items.words[n]) + e)))
+    for n, found in sorted(windows.items()):
+        merged: list[list[int]] = []
+        for a, b in sorted(set(found)):
+            if merged and a <= merged[-1][1]:
+                merged[-1][1] = max(b, merged[-1][1])
+            else:
+                merged.append([a, b])
+        best = None
+        for a, b in merged:
+            match = best_match(items.words[n], items.errors[n], words[a:b])
+            if match and (best is None or match[0] < best[0]):
+                best = (match[0], match[1] + a, match[2] + a)
+        if best:
+            out.append((n, best[0], len(items.words[n]), spans[best[1]][0], spans[best[2] - 1][1]))
+    return out
+
+
+def _matches(batches: Iterator[pa.RecordBatch], items: Items) -> Iterator[pa.RecordBatch]:
     machine = items.machine()
     for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not text:
-                continue
-            hits = list(machine.iter(_BETWEEN.sub(" ", f" {lowered(text)} ")))
-            if not hits:
-                continue
-            words, spans = words_of(text)
-            windows: dict[int, list[tuple[int, int]]] = {}
-            # The number of the word before which each hit ends.
-            starts = [0]
-            for w in words:
-                starts.append(starts[-1] + len(w) + 1)
-            number = {s: i for i, s in enumerate(starts)}
-            for end, (size, places) in hits:
-                first = number[end] - size
-                for n, at in places:
-                    e = items.errors[n]
-                    windows.setdefault(n, []).append((max(0, first - at - e), min(len(words), first - at + len(items.words[n]) + e)))
-            for n, found in sorted(windows.items()):
-                merged: list[list[int]] = []
-                for a, b in sorted(set(found)):
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(b, merged[-1][1])
-                    else:
-                        merged.append([a, b])
-                best = None
-                for a, b in merged:
-                    match = best_match(items.words[n], items.errors[n], words[a:b])
-                    if match and (best is None or match[0] < best[0]):
-                        best = (match[0], match[1] + a, match[2] + a)
-                if best:
-                    rows.append((doc_id, items.ids[n], best[0], len(items.words[n]), spans[best[1]][0], spans[best[2] - 1][1]))
-        columns = list(zip(*rows)) or [[]] * 6
-        yield pa.record_batch([pa.array(columns[0], id_type), *(pa.array(c, pa.int64()) for c in columns[1:])], names=["doc_id", "item_id", "distance", "item_words", "start", "end"])
+        rows = [(row, items.ids[found[0]], *found[1:]) for row, text in enumerate(batch.column(1).to_pylist()) for found in _found(text, items, machine)]
+        at, *columns = list(zip(*rows)) or [[]] * 6
+        yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in columns)], names=["doc_id", "item_id", "distance", "item_words", "start", "end"])
+
+
+def _clean(batches: Iterator[pa.RecordBatch], items: Items, place: int) -> Iterator[pa.RecordBatch]:
+    machine = items.machine()
+    for batch in batches:
+        yield batch.filter(pa.array([not _found(text, items, machine) for text in batch.column(place).cast(pa.large_string()).to_pylist()], pa.bool_()))
+
+
+def _shards(benchmark: DataFrame, error_rate: float, min_words: int) -> Iterator[Items]:
+    """All items of benchmark, as many at once as have SHARD_BYTES of text."""
+    tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
+    total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = -(-2 * total // SHARD_BYTES) or 1
+    for shard in range(shards):
+        some = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).orderBy("item_id", "text").collect()
+        items = Items([], [], [])
+        for item_id, text in some:
+            words, _ = words_of(text)
+            if words:
+                items.ids.append(item_id)
+                items.words.append(words)
+                items.errors.append(min(len(words) - 1, int(error_rate * len(words))) if len(words) >= min_words else 0)
+        if items.ids:
+            yield items
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, error_rate: float = 0.2, min_words: int = 5) -> DataFrame:
@@ -141,38 +168,28 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, error_rate: float =
     automaton finds all hits of pieces in one run over a text; around hits,
     Myers' bit-parallel algorithm finds the distance.
 
-    Items with fewer than min_words words are left out: they'd be in every
-    document. Items or documents with a null id or text match nothing. Rows
-    that repeat an item or a document give repeated rows. Items are read in
-    shards of SHARD_BYTES of text; each shard's automaton goes to the tasks,
-    and documents are read once for each shard.
+    Items with fewer than min_words words allow no edits; those without words
+    match nothing, as do items or documents with a null id or text. Rows that
+    repeat an item or a document give repeated rows; a doc_id may be of any
+    type; other columns are left alone. Without items or documents there are
+    no rows. Items are read in shards of SHARD_BYTES of text; each shard's
+    automaton goes to the tasks, and documents are read once for each shard.
     """
     docs = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-    tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null")
-    total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = -(-2 * total // SHARD_BYTES) or 1
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id long, distance long, item_words long, start long, end long"
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[docs.schema["doc_id"].dataType.simpleString()]
     out = docs.sparkSession.createDataFrame([], schema)
-    for shard in range(shards):
-        some = tests.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).orderBy("item_id", "text").collect()
-        items = Items([], [], [])
-        for item_id, text in some:
-            words, _ = words_of(text)
-            if len(words) >= max(1, min_words):
-                items.ids.append(item_id)
-                items.words.append(words)
-                items.errors.append(min(len(words) - 1, int(error_rate * len(words))))
-        if items.ids:
-            out = out.union(docs.mapInArrow(_on(items, id_type), schema))
+    for items in _shards(benchmark, error_rate, min_words):
+        out = out.union(docs.mapInArrow(lambda batches, items=items: _matches(batches, items), schema))
     return out
 
 
-def _on(items: Items, id_type: pa.DataType):
-    return lambda batches: _matches(batches, items, id_type)
-
-
 def without_contaminated(documents: DataFrame, benchmark: DataFrame, error_rate: float = 0.2, min_words: int = 5) -> DataFrame:
-    """The documents that hold no test item; all columns stay, and rows without doc_id."""
-    found = contaminated(documents, benchmark, error_rate, min_words).select(F.col("doc_id").alias("_held")).distinct()
-    return documents.join(found, documents["doc_id"] == found["_held"], "left_anti")
+    """The documents whose text holds no test item (see contaminated); all columns stay.
+
+    Each row is judged by its own text, so rows without doc_id and rows that
+    share one need no rule of their own; a null text holds nothing.
+    """
+    place = documents.columns.index("text")
+    for items in _shards(benchmark, error_rate, min_words):
+        documents = documents.mapInArrow(lambda batches, items=items: _clean(batches, items, place), documents.schema)
+    return documents
