@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .storage import persisted
+from .storage import persisted, unused
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -42,6 +42,7 @@ GAZETTEER = {
 LABELERS = ("shape", "gazetteer", "context", "border", "checksum")
 #: Characters before a span in which context counts.
 CONTEXT_CHARS = 30
+CHUNK_CHARS = 4096
 
 
 def _digits(value: Column) -> Column:
@@ -65,22 +66,56 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _scan(numbers: Column, joined) -> Column:
+    """For each of at least one number: what joined (of two numbers, 0 at first) makes of all before it.
+
+    Blocks of a square root of the numbers, so that long texts cost n * sqrt(n) steps.
+    """
+    folded = lambda a: F.aggregate(a, F.lit(0), joined)
+
+    def by_block(s: Column) -> Column:
+        a, width = s["a"], s["width"]
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / width).cast("int")), lambda k: folded(F.slice(a, k * width + 1, width)))
+        until = lambda b: F.transform(F.sequence(F.lit(0), F.size(b) - 1), lambda k: folded(F.slice(b, F.lit(1), k)))
+        block = lambda i: F.floor(i / width).cast("int")
+        inner = lambda i: folded(F.slice(a, block(i) * width + 1, i - block(i) * width))
+        return _let(_let(blocks, until), lambda o: F.transform(F.sequence(F.lit(0), F.size(a) - 1), lambda i: joined(F.get(o, block(i)), inner(i))))
+
+    return _let(F.struct(numbers.alias("a"), F.ceil(F.sqrt(F.size(numbers))).cast("int").alias("width")), by_block)
+
+
 def _spans(text: Column, pattern: str, seen: Column) -> Column:
     """Array of (start, end, value, before, after) of all matches, in code points; seen: a cheap test that must hold."""
     none = F.array().cast("array<struct<start:int,end:int,value:string,before:string,after:string>>")
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-
-    def step(state: Column, i: Column) -> Column:
-        start = state["at"] + F.length(F.get(state["between"], i))
-        end = start + F.length(F.get(state["values"], i))
-        before = F.substring(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT_CHARS)))
-        span = F.struct(start.alias("start"), end.alias("end"), F.get(state["values"], i).alias("value"), before.alias("before"), F.substring(text, end + 1, F.lit(1)).alias("after"))
-        return F.struct(end.alias("at"), state["between"].alias("between"), state["values"].alias("values"), F.concat(state["found"], F.array(span)).alias("found"))
 
     # The pieces between matches and the matches alternate, so their lengths give the places.
-    zero = F.struct(F.lit(0).alias("at"), between.alias("between"), values.alias("values"), none.alias("found"))
-    return F.when(seen, F.aggregate(F.sequence(F.lit(0), F.size(values) - 1), zero, step, lambda s: s["found"])).otherwise(none)
+    def placed(s: Column) -> Column:
+        values, between, until = s["values"], s["between"], s["until"]
+        # A match has four characters at least, so what stands before one is in the last pieces.
+        piece = lambda j, i: F.concat(F.right(F.get(between, j), F.lit(CONTEXT_CHARS)), F.when(j < i, F.get(values, j)).otherwise(""))
+
+        def span(i: Column) -> Column:
+            start = F.get(until, i) + F.length(F.get(between, i))
+            pieces = F.transform(F.sequence(F.greatest(i - CONTEXT_CHARS // 4 - 1, F.lit(0)), i), lambda j: piece(j, i))
+            following = F.concat(F.substring(F.get(between, i + 1), 1, 1), F.coalesce(F.get(values, i + 1), F.lit("")))
+            return F.struct(
+                start.alias("start"), (start + F.length(F.get(values, i))).alias("end"), F.get(values, i).alias("value"),
+                F.right(F.array_join(pieces, ""), F.lit(CONTEXT_CHARS)).alias("before"), F.substring(following, 1, 1).alias("after"),
+            )
+
+        return F.transform(F.sequence(F.lit(0), F.size(values) - 1), span)
+
+    def measured(s: Column) -> Column:
+        lengths = F.transform(F.sequence(F.lit(0), F.size(s["values"]) - 1), lambda i: F.length(F.get(s["between"], i)) + F.length(F.get(s["values"], i)))
+        return F.struct(s["values"].alias("values"), s["between"].alias("between"), _scan(lengths, lambda x, y: x + y).alias("until"))
+
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"), F.split(text, pattern, -1).alias("between"))
+    return F.when(seen, _let(_let(parts, measured), placed)).otherwise(none)
 
 
 def _vote(kind: str, s: Column) -> Column:
@@ -214,8 +249,10 @@ def personal_data(documents: DataFrame, threshold: float = 0.9) -> DataFrame:
     at least `threshold`. Arrays are ordered by kind (email, ip, card, phone),
     then start.
 
-    A null text is an empty one, with no spans. Texts don't leave the first
-    pass: what is written between holds places and votes only.
+    A null text is an empty one, with no spans; an id may be null or repeated,
+    each row has its own spans; other columns are left alone; no documents give
+    no rows. Texts don't leave the first pass: what is written between holds
+    places and votes only.
     """
     found = persisted(candidates(documents), "pii-candidates")
     each = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.wide", "s.length", *(F.col(f"s.votes.{n}").alias(n) for n in LABELERS)).count()
@@ -235,25 +272,38 @@ def printed(spans: Column) -> Column:
 def redacted(documents: DataFrame, threshold: float = 0.9) -> DataFrame:
     """documents with [EMAIL], [IP], [CARD] or [PHONE] in place of each span; n_chars, where there is one, follows.
 
-    Of spans that overlap, the leftmost (then the longest) names the gap that all of them leave.
+    Of spans that overlap, the leftmost (then the longest) names the gap that
+    all of them leave. All columns and rows stay, whatever their names; equal
+    texts become equal ones; a null text stays null.
     """
     # The same text has the same spans, so they go back by a hash of it.
-    keyed = documents.withColumn("_text_hash", F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
-    held = keyed.select(F.col("_text_hash").alias("doc_id"), "text").filter(F.col("text").rlike("[0-9]|@|(?i)[\\[(]at[\\])]"))
-    found = personal_data(held, threshold).filter(F.size("spans") > 0).groupBy("doc_id").agg(F.first("spans").alias("_spans")).withColumnRenamed("doc_id", "_hash")
-    joined = keyed.join(found, keyed["_text_hash"] == found["_hash"], "left")
-    order = F.array_sort(F.transform("_spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
+    digest, hashed, held = unused(documents, "_digest", "_hash", "_spans")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = documents.withColumn(digest, F.sha2(text.cast("binary"), 256))
+    some = keyed.select(F.col(digest).alias("doc_id"), "text").filter(F.col("text").rlike("[0-9]|@|(?i)[\\[(]at[\\])]"))
+    found = personal_data(some, threshold).filter(F.size("spans") > 0).groupBy(F.col("doc_id").alias(hashed)).agg(F.first("spans").alias(held))
+    joined = keyed.join(found, keyed[digest] == found[hashed], "left")
+    order = F.array_sort(F.transform(held, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("end"), s["kind"].alias("kind"))))
     label = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.length("text") / CHUNK_CHARS).cast("int")), lambda c: F.substring("text", c * CHUNK_CHARS + 1, F.lit(2 * CHUNK_CHARS)))
+
+    def cut(s: Column) -> Column:
+        spans, until, chunks = s["spans"], s["until"], s["chunks"]
+        # A substring is looked for from the start of a string, so short ones are taken from chunks.
+        near = lambda at, size: F.substring(F.get(chunks, F.floor(at / CHUNK_CHARS).cast("int")), at % CHUNK_CHARS + 1, size)
+        piece = lambda at, size: F.when(size <= CHUNK_CHARS, near(at, size)).otherwise(F.substring("text", at + 1, size))
+
+        def gap(i: Column) -> Column:
+            span, at = F.get(spans, i), F.get(until, i)
+            return F.when(span["start"] < at, "").otherwise(F.concat(piece(at, span["start"] - at), F.get(label, span["kind"])))
 
-    def step(state: Column, s: Column) -> Column:
-        inside = s["start"] < state["at"]
-        piece = F.concat(F.substring("text", state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0))), F.get(label, s["kind"]))
-        return F.struct(F.greatest(state["at"], -s["end"]).alias("at"), F.when(inside, state["out"]).otherwise(F.concat(state["out"], piece)).alias("out"))
+        last = F.array_max(F.transform(spans, lambda x: -x["end"]))
+        return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), F.size(spans) - 1), gap), ""), F.substring("text", last + 1, F.length("text")))
 
-    cut = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring("text", s["at"] + 1, F.length("text"))))
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)
-    out = joined.withColumn("text", text)
+    until = _let(order, lambda o: F.struct(o.alias("spans"), _scan(F.transform(o, lambda x: -x["end"]), lambda x, y: F.greatest(x, y)).alias("until"), chunks.alias("chunks")))
+    cut = _let(until, cut)
+    out = joined.withColumn("text", F.when(F.col(held).isNull(), F.col("text")).otherwise(cut))
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+        out = out.withColumn("n_chars", F.when(F.col(held).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind))
     return out.select(documents.columns)

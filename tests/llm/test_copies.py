@@ -208,3 +208,14 @@ def test_nothing_to_find(spark):
     docs = cases.documents(spark)
     assert D.contaminated(docs, none).count() == 0
     assert D.without_contaminated(docs, none).count() == docs.count()
+
+
+def test_items_and_documents_of_any_id(spark):
+    item = " ".join(cases.passage(60, 20))
+    docs = [(1, f"before {item} after"), (2, "none of it"), (None, f"no id {item}"), (3, "yes indeed"), (4, None)]
+    for kind in ("smallint", "string", "decimal(9,0)"):
+        df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr(f"cast(doc_id as {kind}) as doc_id", "text", "1 as other")
+        tests = spark.createDataFrame([(7, item), (8, "yes"), (9, "")], "item_id long, text string")
+        assert {(int(r.doc_id), r.item_id) for r in D.contaminated(df, tests).collect()} == {(1, 7), (3, 8)}
+        kept = D.without_contaminated(df, tests)
+        assert kept.columns == df.columns and sorted(int(r.doc_id) for r in kept.collect()) == [2, 4]

@@ -362,3 +362,31 @@ def test_minimum_cut():
         edges = [(i, j, float(r.integers(0, 4))) for i in range(n) for j in range(i) if r.random() < 0.5]
         value = lambda side: sum(abs(c) for c, s in zip(cost, side) if (c > 0) != bool(s) and c) + sum(w for a, b, w in edges if side[a] != side[b])  # noqa: E731, B023
         assert abs(value(H.min_cut(cost, edges)) - min(value(s) for s in product([0, 1], repeat=n))) < 1e-6
+
+
+CLASHES = ("last", "first", "certain", "inclusion", "_source", "_cut", "_spans", "_hash", "_digest", "target", "c", "n", "key", "bin")
+
+
+def test_extra_columns_may_have_any_name(spark):
+    docs = cases.documents(spark).select("doc_id", "text", "source", "n_chars")
+    wide = docs.select("*", *(F.lit("mine").alias(c) for c in CLASHES))
+    of = lambda df, *names: sorted(map(tuple, df.select(*names).collect()), key=repr)
+    mixed_rows = of(M.mixed(docs), "doc_id", "taken", "copies")
+    assert of(M.mixed(wide), "doc_id", "taken", "copies") == mixed_rows
+    out = P.redacted(wide)
+    assert out.columns == wide.columns and of(out, "doc_id", "text") == of(P.redacted(docs), "doc_id", "text")
+    assert {tuple(r) for r in out.select(*CLASHES).collect()} == {("mine",) * len(CLASHES)}
+
+
+def test_held_out_is_never_null(spark):
+    ids = spark.createDataFrame([(None,), (1,), (2,)], "doc_id long")
+    assert {r[0] for r in ids.select(Q.held_out()).collect()} <= {True, False}
+
+
+def test_spans_of_a_long_text(spark):
+    text = "bob.smith@mail.co " * 8000 + "last +1 (555) 123-4567"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = P.personal_data(docs).first()
+    assert [tuple(s) for s in found.base[:2]] == [(0, 0, 17), (0, 18, 35)] and len(found.base) == 8001
+    assert tuple(found.base[-1]) == (3, len(text) - 17, len(text))
+    assert P.redacted(docs).first().text == "[EMAIL] " * 8000 + "last [PHONE]"
