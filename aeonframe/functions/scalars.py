@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, functions as F
 
 #: What counts as nothing, in lower case.
@@ -30,28 +32,53 @@ def whole(c: Column) -> Column:
 
 
 def slug(c: Column) -> Column:
-    """Lower-case ASCII letters and digits, runs of others one hyphen; 'unnamed' if nothing is left."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(plain_letters(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
+    """Lower-case ASCII letters and digits, runs of others one hyphen; 'unnamed' if nothing is left.
+
+    Letters with marks and other signs that decompose (NFKD) count as what
+    they hold of ASCII; the rest of Unicode goes without a hyphen.
+    """
+    s = F.regexp_replace(_ascii(c), r"[^\x00-\x7F]+", "")
+    s = F.regexp_replace(F.regexp_replace(F.lower(s), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return F.when(s == "", F.lit("unnamed")).otherwise(s)
 
 
-# Accented letters and what they become.
-_ACCENTED = "àáâãäåāăąçćčďèéêëēėęěìíîïīįłñńňòóôõöøōőřśšťùúûüūůűýÿźżžÀÁÂÃÄÅĀĂĄÇĆČĎÈÉÊËĒĖĘĚÌÍÎÏĪĮŁÑŃŇÒÓÔÕÖØŌŐŘŚŠŤÙÚÛÜŪŮŰÝŸŹŻŽ"
-_PLAIN = "aaaaaaaaacccdeeeeeeeeiiiiiilnnnoooooooorsstuuuuuuuyyzzzAAAAAAAAACCCDEEEEEEEEIIIIIILNNNOOOOOOOORSSTUUUUUUUYYZZZ"
+def _decomposed() -> dict[str, str]:
+    """Every sign beyond ASCII whose decomposition holds ASCII, and that ASCII. Blanks stand for separators and controls."""
+    found = {}
+    for code in [*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)]:
+        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if x < "\x80")
+        if plain:
+            found[chr(code)] = plain
+    return found
+
+
+_PLAIN = _decomposed()
+_SINGLE = {k: v for k, v in _PLAIN.items() if len(v) == 1}
+_SEVERAL = {k: v for k, v in _PLAIN.items() if len(v) > 1}
+
+
+def _ascii(c: Column) -> Column:
+    """Signs that decompose to one sign of ASCII at once; those that give several by a table, only in texts that have some left."""
+    s = F.translate(c, "".join(_SINGLE), "".join(_SINGLE.values()))
+    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in _SEVERAL.items())), F.lit("\x01"), F.lit("\x02"))
+    by_sign = F.array_join(F.transform(F.split(s, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.when(s.rlike(r"[^\x00-\x7F]"), by_sign).otherwise(s)
 
 
 def plain_letters(c: Column) -> Column:
-    """Letters without accents. Only the letters listed; functions.unicode.fold does all of Unicode."""
-    return F.translate(c, _ACCENTED, _PLAIN)
+    """Letters without marks, as far as they decompose to one letter of ASCII; others stay."""
+    return F.translate(c, "".join(_SINGLE), "".join(_SINGLE.values()))
 
 
 def year_label(y: Column) -> Column:
-    """'400 BCE', '25 CE'."""
-    return F.when(y < 0, F.concat((-y).cast("string"), F.lit(" BCE"))).when(y >= 0, F.concat(y.cast("string"), F.lit(" CE")))
+    """'400 BC', 'AD 25', 'undated'."""
+    return F.when(y < 0, F.concat((-y).cast("string"), F.lit(" BC"))).when(y >= 0, F.concat(F.lit("AD "), y.cast("string"))).otherwise(F.lit("undated"))
 
 
 def span_label(start: Column, end: Column) -> Column:
-    return F.when(start.isNull() & end.isNull(), F.lit("undated")).when(start.eqNullSafe(end), year_label(start)).otherwise(F.concat_ws(" – ", year_label(start), year_label(end)))
+    """'400 BC – AD 25'; one label for one year; an unknown end is a dash; 'undated' without both."""
+    one = lambda y: F.when(y.isNull(), F.lit("—")).otherwise(year_label(y))
+    return F.when(start.isNull() & end.isNull(), F.lit("undated")).when(start.eqNullSafe(end), one(start)).otherwise(F.concat_ws(" – ", one(start), one(end)))
 
 
 def bin_edge(y: Column) -> Column:
@@ -74,9 +101,10 @@ def ordinal_edge(ordinal: Column) -> Column:
 
 
 def bin_label(edge: Column) -> Column:
-    """'400–376 BCE', '1–25 CE'."""
-    last = F.when(edge < 0, -edge - BIN_YEARS + 1).otherwise(edge + BIN_YEARS - 1)
-    return F.concat(F.abs(edge).cast("string"), F.lit("–"), last.cast("string"), F.when(edge < 0, F.lit(" BCE")).otherwise(F.lit(" CE")))
+    """'400–376 BC', 'AD 1–25', 'undated'."""
+    before = F.concat((-edge).cast("string"), F.lit("–"), (-edge - BIN_YEARS + 1).cast("string"), F.lit(" BC"))
+    after = F.concat(F.lit("AD "), edge.cast("string"), F.lit("–"), (edge + BIN_YEARS - 1).cast("string"))
+    return F.when(edge < 0, before).when(edge >= 0, after).otherwise(F.lit("undated"))
 
 
 def midpoint(start: Column, end: Column) -> Column:
@@ -154,24 +182,35 @@ def word_count(c: Column) -> Column:
     return F.size(F.filter(F.split(bare, r"\s+"), lambda w: w.rlike(r"[\p{L}\p{N}]")))
 
 
+# Marks in place names, and words that tell what a place is (the first at the start of a name or its last part).
+UNCERTAIN = r"(?U)\s*\(\s*\?\s*\)\s*$|\s*\?\s*$"
+FOUND_WRITTEN = r"(?iU)\s*\[\s*found\s*&\s*written\s*\]\s*"
+TOMB = r"(?i)^(t\b|t\.|tomba|tomb\b|tumulo|sepolcr|grave\b|hypogeum)"
+NECROPOLIS = r"(?i)necropol|cimitero|cemeter|sepolcret"
+
+
 def place_flags(name: Column) -> Column:
-    """struct(name, uncertain, found): '(?)' and '[found & written]' lifted out of a place name."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(name, r"\s*\(\?\)\s*", " "), r"(?i)\s*\[found\s*&\s*written\]\s*", " "))
-    return F.struct(F.regexp_replace(bare, r"\s+", " ").alias("name"), name.contains("(?)").cast("int").alias("uncertain"), name.rlike(r"(?i)\[found\s*&\s*written\]").cast("int").alias("found"))
+    """struct(name, uncertain, found): a question mark at the end and '[found & written]' lifted out of a place name."""
+    bare = F.regexp_replace(name, FOUND_WRITTEN, " ")
+    clean = F.regexp_replace(F.regexp_replace(bare, UNCERTAIN, ""), r"(?U)\s+", " ")
+    clean = F.regexp_replace(clean, "^[ ,-]+|[ ,-]+$", "")
+    return F.struct(F.when(clean == "", F.trim(name)).otherwise(clean).alias("name"), bare.rlike(UNCERTAIN).cast("int").alias("uncertain"), name.rlike(FOUND_WRITTEN).cast("int").alias("found"))
 
 
 def place_level(name: Column) -> Column:
-    """tomb, necropolis, locality (a comma) or site, by the last part of a name."""
-    low = F.lower(F.trim(F.element_at(F.split(name, ","), -1)))
-    return F.when(low.rlike(r"\b(tomb|tomba|tumulus|tumulo|ipogeo|grave)\b"), "tomb").when(low.rlike(r"\b(necropolis|necropoli|cemetery)\b"), "necropolis").when(name.contains(","), "locality").otherwise("site")
+    """tomb (by the name or its last part), necropolis, locality (a comma or a dash between blanks) or site."""
+    tail = F.trim(F.element_at(F.split(name, r"(?U)\s*[,-]\s*"), -1))
+    locality = name.contains(",") | name.rlike(r"(?U)\s-\s")
+    return F.when(tail.rlike(TOMB) | name.rlike(TOMB), "tomb").when(name.rlike(NECROPOLIS), "necropolis").when(locality, "locality").otherwise("site")
 
 
 def name_variants(name: Column) -> Column:
-    """Slugs by which a place may be known: parts between slashes, the gloss in parentheses, the name without it; longer than 2."""
-    bare = F.regexp_replace(name, r"\([^)]*\)", " ")
-    gloss = F.regexp_extract_all(name, F.lit(r"\(([^)]*)\)"), F.lit(1))
-    parts = F.concat(F.split(bare, "/"), gloss)
-    return F.array_sort(F.array_distinct(F.filter(F.transform(parts, slug), lambda s: (F.length(s) > 2) & (s != "unnamed"))))
+    """Slugs by which a place may be known: the whole name, parts between slashes, glosses in their parentheses, parts without them; longer than 2."""
+    parts = F.split(name, r"(?U)\s*/\s*")
+    glosses = F.flatten(F.transform(parts, lambda p: F.regexp_extract_all(p, F.lit(r"\(([^)]*)\)"), F.lit(1))))
+    bare = F.transform(parts, lambda p: F.regexp_replace(p, r"(?U)\s*\([^)]*\)", ""))
+    slugs = F.transform(F.concat(F.array(name), parts, glosses, bare), slug)
+    return F.array_sort(F.array_distinct(F.filter(slugs, lambda s: (F.length(s) > 2) & (s != "unnamed"))))
 
 
 def code_scheme(code: Column) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .steps import written
+
 
 def language_maps(records: DataFrame, key: str, code: str) -> DataFrame:
     """(key, n, counts, main): records, a map of code counts, and the most frequent code (the least of equal ones)."""
@@ -30,6 +32,25 @@ def merge_names(places: DataFrame, key: str, group: str, variants: str) -> DataF
     return named.select(least.alias("u"), F.col(key).alias("v")).filter("u < v").distinct()
 
 
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, component) for every node of pairs (u, v); component is the least node that is reached.
+
+    Each round hooks a node to its least neighbour and carries the pairs over;
+    what a round leaves is written to the shared folder, so that no plan grows.
+    """
+    both = pairs.select("u", "v").union(pairs.select("v", "u")).toDF("a", "b").filter("a <> b").distinct()
+    both, labels = written(both), None
+    while not both.isEmpty():
+        hook = written(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("to")))
+        if labels is None:
+            labels = hook.toDF("node", "component")
+        else:
+            labels = labels.join(hook, labels["component"] == hook["a"], "left").select("node", F.coalesce("to", "component").alias("component"))
+        there = hook.toDF("b", "to_b")
+        both = written(both.join(hook, "a").join(there, "b").filter("to <> to_b").select("to", "to_b").distinct().toDF("a", "b"))
+    return both.toDF("node", "component") if labels is None else labels
+
+
 def keepers(places: DataFrame, component: str, name: str, key: str) -> DataFrame:
     """By component: the place with the longest name (then the least key), and the other names."""
     best = F.max(F.struct(F.length(name).alias("len"), (-F.col(key)).alias("neg"), F.col(name).alias("name")))

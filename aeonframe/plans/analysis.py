@@ -9,6 +9,7 @@ from aeonframe.functions import scalars as S, unicode as U
 from aeonframe.operators import geometry, hierarchy, intervals, models, spatial
 from aeonframe.sources import readers, writers
 
+from .atlas import _VARIANTS
 from .console import console
 from .model import EXPANDED, PLACES, RECORDS, dated, places, records, table
 from .registry import query
@@ -41,10 +42,10 @@ def variance_shares(spark, folder):
     return x.agg(*(F.round(F.covar_pop(c, "t") / F.var_pop("t"), 6).alias(f"share_{c}") for c in "abc"))
 
 
-@query("AGG_25_morans_i", f"""WITH {PLACES}, v AS (SELECT place_id AS key, lat, lon, value AS v, 1.0::DOUBLE AS weight FROM places WHERE place_id % 3 = 0),
+@query("AGG_25_morans_i", f"""WITH {PLACES}, v AS (SELECT place_id AS key, lat, lon, value AS v, 1.0::DOUBLE AS weight FROM places),
 m AS (SELECT sum(v * weight) / sum(weight) AS mean FROM v), z AS (SELECT key, lat, lon, weight, v - mean AS z FROM v, m),
 p AS (SELECT a.z AS za, b.z AS zb, 2 * 6371 * asin(least(1, sqrt(power(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin((radians(b.lon) - radians(a.lon)) / 2), 2)))) AS km FROM z a JOIN z b ON a.key <> b.key),
-w AS (SELECT *, exp(-power(km / 40, 2) / 2) AS w FROM p WHERE km <= 120)
+w AS (SELECT *, exp(-power(km / 40, 2)) AS w FROM p)
 SELECT round((SELECT sum(w * za * zb) / sum(w) FROM w) / (SELECT sum(weight * z * z) / sum(weight) FROM z), 6) AS i, (SELECT count(*) FROM z) AS n""")
 def morans_i(spark, folder):
     v = places(spark, folder).select(F.col("place_id").alias("key"), "lat", "lon", F.col("value").alias("v"), F.lit(1.0).alias("weight"))
@@ -106,7 +107,7 @@ def standardised(spark, folder):
     return s.crossJoin(F.broadcast(m)).select("s_suppkey", F.round((F.col("s_acctbal") - F.col("mean")) / F.col("sd"), 6).alias("z"))  # one row
 
 
-@query("STA_05_design_rows", f"""WITH {EXPANDED} SELECT pk, ord::BIGINT AS ord, list_sort(['lang=' || language, 'bin=' || ord, 'place=' || place_id]) AS terms FROM expanded WHERE pk % 50 = 0""")
+@query("STA_05_design_rows", f"""WITH {EXPANDED} SELECT pk, ord::BIGINT AS ord, list_sort(['lang=' || language, 'bin=' || ord, 'place=' || place_id]) AS terms FROM expanded""")
 def design_rows(spark, folder):
     """Sparse design: the terms of each record and bin."""
     rows = intervals.expand(dated(spark, folder))
@@ -130,21 +131,20 @@ def colours(spark, folder):
     return table(spark, folder, "nation").select("n_nationkey", S.hue_color(F.col("n_nationkey")).alias("colour"))
 
 
-@query("MTH_08_kernel_weights", f"""WITH {PLACES}, k AS (SELECT place_id, lat, lon FROM places WHERE place_id % 15 = 0),
-d AS (SELECT p.place_id, k.place_id AS knot, exp(-power(sqrt(power(p.lat - k.lat, 2) + power(p.lon - k.lon, 2)) / 0.8, 2) / 2) AS w FROM places p, k),
+@query("MTH_08_kernel_weights", f"""WITH {PLACES}, k AS (SELECT DISTINCT CAST(floor(lat) * 1000 + floor(lon) AS BIGINT) AS knot, floor(lat) + 0.5 AS lat, floor(lon) + 0.5 AS lon FROM places),
+d AS (SELECT p.place_id, k.knot, exp(-power(sqrt(power(p.lat - k.lat, 2) + power(p.lon - k.lon, 2)) / 0.8, 2) / 2) AS w FROM places p, k),
 t AS (SELECT *, row_number() OVER (PARTITION BY place_id ORDER BY round(w, 9) DESC, knot) AS n FROM d)
 SELECT place_id, knot, round(w / sum(w) OVER (PARTITION BY place_id), 6) AS w FROM t WHERE n <= 4""")
 def kernel_weights(spark, folder):
-    """The four nearest of some knots and their shares of a Gaussian kernel. Knots are few: they are counted before they are broadcast."""
+    """The four nearest knots and their shares of a Gaussian kernel. Knots are the middles of the degrees with places: at most 64,800 on a globe, so they go along as one array."""
     p = places(spark, folder).select("place_id", "lat", "lon")
-    k = p.filter("place_id % 15 = 0").select(F.col("place_id").alias("knot"), F.col("lat").alias("ky"), F.col("lon").alias("kx"))
-    if k.limit(20_001).count() > 20_000:
-        raise ValueError("too many knots")
-    d = F.sqrt(F.pow(F.col("lat") - F.col("ky"), 2) + F.pow(F.col("lon") - F.col("kx"), 2))
-    w = F.exp(-F.pow(d / 0.8, 2) / 2)
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("w", 9)).alias("o"), "knot", "w"))), 1, 4)
-    top = p.join(F.broadcast(k), F.lit(True)).withColumn("w", w).groupBy("place_id").agg(best.alias("b")).select("place_id", F.explode("b").alias("b"))
-    return top.select("place_id", F.col("b.knot").alias("knot"), F.round(F.col("b.w") / F.sum("b.w").over(Window.partitionBy("place_id")), 6).alias("w"))
+    south, west = F.floor("lat"), F.floor("lon")
+    knots = p.select((south * 1000 + west).alias("knot"), (south + 0.5).alias("y"), (west + 0.5).alias("x")).distinct().agg(F.collect_list(F.struct("knot", "y", "x")).alias("knots"))
+    near = lambda k: F.exp(-(F.pow(F.col("lat") - k["y"], 2) + F.pow(F.col("lon") - k["x"], 2)) / (2 * 0.8**2))
+    weighed = F.transform("knots", lambda k: F.struct((-F.round(near(k), 9)).alias("o"), k["knot"].alias("knot"), near(k).alias("w")))
+    top = p.crossJoin(F.broadcast(knots)).select("place_id", F.slice(F.array_sort(weighed), 1, 4).alias("b"))  # one row
+    total = F.aggregate("b", F.lit(0.0), lambda s, x: s + x["w"])
+    return top.select("place_id", F.explode("b").alias("k"), total.alias("total")).select("place_id", F.col("k.knot").alias("knot"), F.round(F.col("k.w") / F.col("total"), 6).alias("w"))
 
 
 @query("DAT_05_mid_years", "SELECT o::BIGINT AS o, -787.5::DOUBLE + 25 * o AS mid_year FROM (SELECT unnest(generate_series(0, 36)) AS o)")
@@ -211,14 +211,23 @@ def signed_distance(spark, folder):
     return d.join(i, "place_id").select("place_id", F.round(F.when(F.col("inside"), -F.col("km")).otherwise(F.col("km")), 6).alias("km"))
 
 
-@query("SET_04_place_merge")
+_MERGED = "'Locus' || place_id % 23 || CASE WHEN place_id % 2 = 0 THEN ' / Locus' || place_id * 5 % 23 WHEN place_id % 5 = 0 THEN ' (Locus' || place_id % 11 || ')' ELSE '' END"
+
+
+@query("SET_04_place_merge", f"""WITH RECURSIVE {PLACES}, n AS (SELECT place_id, floor(lat) AS a, floor(lon) AS b, {_MERGED} AS name FROM places),
+v AS (SELECT place_id, a, b, unnest({_VARIANTS.replace("NAME", "name")}) AS v FROM n),
+e AS (SELECT DISTINCT x.place_id AS u, y.place_id AS w FROM v x JOIN v y USING (a, b, v) WHERE x.place_id <> y.place_id),
+reach AS (SELECT u, w FROM e UNION SELECT r.u, e.w FROM reach r JOIN e ON r.w = e.u),
+c AS (SELECT place_id, any_value(name) AS name, least(place_id, coalesce(min(w), place_id)) AS component FROM n LEFT JOIN reach ON u = place_id GROUP BY place_id),
+k AS (SELECT *, first_value(name) OVER o AS kept, row_number() OVER o AS r FROM c WINDOW o AS (PARTITION BY component ORDER BY length(name) DESC, place_id))
+SELECT component, min(place_id) FILTER (r = 1) AS place_id, any_value(kept) AS name, coalesce(list_sort(list(DISTINCT name) FILTER (name <> kept)), []) AS aliases, count(*) AS n_places FROM k GROUP BY component""")
 def place_merge(spark, folder):
-    """Places of one spot that share a name variant, as components; the longest name is kept."""
-    p = places(spark, folder).select("place_id", F.concat_ws(",", F.floor("lat").cast("string"), F.floor("lon").cast("string")).alias("spot"), F.array(F.substring("name", -1, 1)).alias("variants"), "name")
-    pairs = hierarchy.merge_names(p, "place_id", "spot", "variants")
-    # Stars meet at the least key of a spot and variant, so one step up gives the component here.
-    up = pairs.groupBy(F.col("v").alias("place_id")).agg(F.min("u").alias("component"))
-    return hierarchy.keepers(p.join(up, "place_id", "left").withColumn("component", F.coalesce("component", "place_id")), "component", "name", "place_id").select("component", "place_id", "name", "n_places")
+    """Places of one spot that share a name variant, directly or through others; the longest name is kept, the others are aliases."""
+    p = places(spark, folder).selectExpr("place_id", "concat_ws(',', floor(lat), floor(lon)) AS spot", f"{_MERGED} AS name")
+    pairs = hierarchy.merge_names(p.withColumn("variants", S.name_variants(F.col("name"))), "place_id", "spot", "variants")
+    found = hierarchy.components(pairs)
+    p = p.join(found, p["place_id"] == found["node"], "left").withColumn("component", F.coalesce("component", "place_id"))
+    return hierarchy.keepers(p, "component", "name", "place_id").select("component", "place_id", "name", "aliases", "n_places")
 
 
 @query("SNK_12_grid_payload", f"""WITH {EXPANDED}, c AS (SELECT language, ord, sum(w) AS v FROM expanded WHERE ord BETWEEN -3 AND -1 GROUP BY ALL)

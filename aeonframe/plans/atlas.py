@@ -102,36 +102,61 @@ def tolerant_numbers(spark, folder):
     return table(spark, folder, "part").select(k, S.whole(s).alias("n"), S.number(s).alias("d"))
 
 
-@query("STR_06_slugs", "SELECT p_partkey, CASE WHEN s = '' THEN 'unnamed' ELSE s END AS slug FROM (SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' (' || p_brand || ')'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS s FROM part)")
+def _slug(x: str) -> str:
+    s = f"regexp_replace(regexp_replace(lower(regexp_replace(strip_accents({x}), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+    return f"coalesce(nullif({s}, ''), 'unnamed')"
+
+
+@query("STR_06_slugs", f"""WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name || ' (' || p_brand || ')' WHEN 1 THEN 'Ḥatra ß ' || p_partkey WHEN 2 THEN ' Ṭāyôn — ' || p_size || ' …è' ELSE '日本' END AS s FROM part)
+SELECT p_partkey, {_slug("s")} AS slug FROM t""")
 def slugs(spark, folder):
-    return table(spark, folder, "part").select("p_partkey", S.slug(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).alias("slug"))
+    k = F.col("p_partkey")
+    s = F.when(k % 4 == 0, F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))).when(k % 4 == 1, F.concat(F.lit("Ḥatra ß "), k.cast("string")))
+    s = s.when(k % 4 == 2, F.concat(F.lit(" Ṭāyôn — "), F.col("p_size").cast("string"), F.lit(" …è"))).otherwise(F.lit("日本"))
+    return table(spark, folder, "part").select(k, S.slug(s).alias("slug"))
+
+
+_FLAGGED = ["", " (?)", "?", " ? ( ? ) ", " [Found & written]", " [found&written]?", ", - ", " (?) nord", "? [ found & written ]"]
 
 
-@query("STR_07_place_flags", """
-WITH t AS (SELECT c_custkey, c_name || CASE WHEN c_custkey % 3 = 0 THEN ' (?)' ELSE '' END || CASE WHEN c_custkey % 4 = 0 THEN ' [found & written]' ELSE '' END AS s FROM customer)
-SELECT c_custkey, regexp_replace(s, '\\s*(\\(\\?\\)|\\[found & written\\])', '', 'g') AS name, contains(s, '(?)')::BIGINT AS uncertain, contains(s, '[found & written]')::BIGINT AS found FROM t""")
+@query("STR_07_place_flags", rf"""
+WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN '(?)' ELSE c_name || [{", ".join(f"'{x}'" for x in _FLAGGED)}][c_custkey % {len(_FLAGGED)} + 1] END AS s FROM customer),
+b AS (SELECT c_custkey, s, regexp_replace(s, '\s*\[\s*found\s*&\s*written\s*\]\s*', ' ', 'gi') AS b FROM t),
+n AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(b, '\s*\(\s*\?\s*\)\s*$|\s*\?\s*$', ''), '\s+', ' ', 'g'), '^[ ,-]+|[ ,-]+$', '', 'g') AS n FROM b)
+SELECT c_custkey, CASE WHEN n = '' THEN trim(s) ELSE n END AS name, regexp_matches(b, '\(\s*\?\s*\)\s*$|\?\s*$')::BIGINT AS uncertain, regexp_matches(s, '\[\s*found\s*&\s*written\s*\]', 'i')::BIGINT AS found FROM n""")
 def place_flags(spark, folder):
     k = F.col("c_custkey")
-    s = F.concat("c_name", F.when(k % 3 == 0, " (?)").otherwise(""), F.when(k % 4 == 0, " [found & written]").otherwise(""))
+    s = F.when(k % 50 == 0, "(?)").otherwise(F.concat("c_name", F.get(F.array(*map(F.lit, _FLAGGED)), (k % len(_FLAGGED)).cast("int"))))
     f = S.place_flags(s)
     return table(spark, folder, "customer").select(k, f["name"].alias("name"), f["uncertain"].cast("long").alias("uncertain"), f["found"].cast("long").alias("found"))
 
 
-@query("STR_08_name_variants", """
-WITH t AS (SELECT n_nationkey, [n_name, n_name || ' antica', 'x' || n_name] AS v FROM nation)
-SELECT n_nationkey::BIGINT AS n_nationkey, list_sort(list_distinct([regexp_replace(regexp_replace(lower(x), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') FOR x IN v])) AS variants FROM t""")
+_VARIANTS = rf"""list_sort(list_distinct([v FOR v IN [{_slug("x")} FOR x IN list_concat([NAME], string_split_regex(NAME, '\s*/\s*'),
+flatten([regexp_extract_all(c, '\(([^)]*)\)', 1) FOR c IN string_split_regex(NAME, '\s*/\s*')]), [regexp_replace(c, '\s*\([^)]*\)', '', 'g') FOR c IN string_split_regex(NAME, '\s*/\s*')])] IF length(v) > 2 AND v <> 'unnamed']))"""
+_KNOWN_AS = [" / {} antica (x{})", " (Este)", "", " / (ab) / Città {}", " (vs/{})"]
+
+
+@query("STR_08_name_variants", f"""
+WITH t AS (SELECT n_nationkey, CASE n_nationkey % {len(_KNOWN_AS)} {" ".join(f"WHEN {i} THEN n_name || '" + x.replace("{}", "' || n_name || '") + "'" for i, x in enumerate(_KNOWN_AS))} END AS name FROM nation)
+SELECT n_nationkey::BIGINT AS n_nationkey, {_VARIANTS.replace("NAME", "name")} AS variants FROM t""")
 def name_variants(spark, folder):
-    n = table(spark, folder, "nation")
-    return n.select("n_nationkey", S.name_variants(F.concat("n_name", F.lit(" / "), "n_name", F.lit(" antica (x"), "n_name", F.lit(")"))).alias("variants"))
+    k, name = F.col("n_nationkey"), F.col("n_name")
+    known = F.array(*(F.concat(name, F.regexp_replace(F.lit(x), r"\{\}", name)) for x in _KNOWN_AS))
+    return table(spark, folder, "nation").select(k, S.name_variants(F.get(known, k % len(_KNOWN_AS))).alias("variants"))
+
+
+_LEVELS = ["Roma, Tomba {}", "Necropoli di {}", "{}, Campo", "{}", "Sepolcro 3 {}", "cimitero di {}", "{} - Via Nova", "T. 4, {}", "Este - tumulo {}", "Sepolcreto {}", "Tombolo {}", "grave {}"]
 
 
-@query("STR_09_place_levels", """
-WITH t AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN 'Roma, Tomba ' || p_brand WHEN p_partkey % 4 = 1 THEN 'Necropoli di ' || p_brand WHEN p_partkey % 4 = 2 THEN p_brand || ', Campo' ELSE p_brand END AS s FROM part)
-SELECT CASE WHEN contains(s, 'Tomba') THEN 'tomb' WHEN contains(s, 'Necropoli') THEN 'necropolis' WHEN contains(s, ',') THEN 'locality' ELSE 'site' END AS level, count(*) AS n FROM t GROUP BY 1""")
+@query("STR_09_place_levels", rf"""
+WITH t AS (SELECT p_partkey, replace([{", ".join(f"'{x}'" for x in _LEVELS)}][p_partkey % {len(_LEVELS)} + 1], '{{}}', p_brand) AS s FROM part),
+l AS (SELECT p_partkey, s, trim(string_split_regex(s, '\s*[,-]\s*')[-1]) AS tail FROM t)
+SELECT p_partkey, CASE WHEN regexp_matches(tail, '^(t\b|t\.|tomba|tomb\b|tumulo|sepolcr|grave\b|hypogeum)', 'i') OR regexp_matches(s, '^(t\b|t\.|tomba|tomb\b|tumulo|sepolcr|grave\b|hypogeum)', 'i') THEN 'tomb'
+WHEN regexp_matches(s, 'necropol|cimitero|cemeter|sepolcret', 'i') THEN 'necropolis' WHEN contains(s, ',') OR regexp_matches(s, '\s-\s') THEN 'locality' ELSE 'site' END AS level FROM l""")
 def place_levels(spark, folder):
     k = F.col("p_partkey")
-    s = F.when(k % 4 == 0, F.concat(F.lit("Roma, Tomba "), "p_brand")).when(k % 4 == 1, F.concat(F.lit("Necropoli di "), "p_brand")).when(k % 4 == 2, F.concat("p_brand", F.lit(", Campo"))).otherwise(F.col("p_brand"))
-    return table(spark, folder, "part").groupBy(S.place_level(s).alias("level")).agg(F.count("*").alias("n"))
+    s = F.replace(F.get(F.array(*map(F.lit, _LEVELS)), (k % len(_LEVELS)).cast("int")), F.lit("{}"), F.col("p_brand"))
+    return table(spark, folder, "part").select(k, S.place_level(s).alias("level"))
 
 
 @query("STR_13_code_labels", "SELECT c_custkey, coalesce(n_name, 'Nation ' || c_nationkey) AS label FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 <> 0) ON c_nationkey = n_nationkey")
@@ -269,7 +294,7 @@ def nearest_distance(spark, folder):
 
 
 @query("JON_10_nearest_other", f"""WITH {PLACES}, p AS (SELECT place_id, radians(lon) * 6371 * cos(radians(42.5)) AS x, radians(lat) * 6371 AS y FROM places),
-t AS (SELECT * FROM p WHERE place_id % 10 = 0)
+t AS (SELECT * FROM p)
 SELECT p.place_id, round(min(sqrt(power(p.x - t.x, 2) + power(p.y - t.y, 2))), 6) AS km FROM p JOIN t ON p.place_id <> t.place_id GROUP BY p.place_id""")
 def nearest_other(spark, folder):
     p = places(spark, folder).select("place_id", S.plane_x(F.col("lon")).alias("x"), S.plane_y(F.col("lat")).alias("y"))

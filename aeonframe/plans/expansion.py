@@ -33,7 +33,7 @@ seen AS (SELECT ord FROM expanded GROUP BY ord HAVING sum(w) >= 0.5 UNION SELECT
 bins AS (SELECT unnest(generate_series(min(ord), max(ord))) AS ord FROM seen),
 edges AS (SELECT ord, CASE WHEN ord < 0 THEN ord * 25 ELSE ord * 25 + 1 END AS edge FROM bins)
 SELECT ord::BIGINT AS ord, edge::BIGINT AS edge,
-       abs(edge) || '–' || CASE WHEN edge < 0 THEN -edge - 24 ELSE edge + 24 END || CASE WHEN edge < 0 THEN ' BCE' ELSE ' CE' END AS label FROM edges""")
+       CASE WHEN edge < 0 THEN (-edge) || '–' || (-edge - 24) || ' BC' ELSE 'AD ' || edge || '–' || (edge + 24) END AS label FROM edges""")
 def axis(spark, folder):
     return intervals.axis(dated(spark, folder))
 
@@ -219,8 +219,8 @@ def pivot_entropy(spark, folder):
 
 @query("DAT_02_bins_and_labels", f"""
 WITH {RECORDS}, e AS (SELECT date_start AS y, CASE WHEN date_start < 0 THEN -(((-date_start + 24) // 25) * 25) ELSE CAST(floor((date_start - 1) / 25.0) AS BIGINT) * 25 + 1 END AS edge FROM records WHERE date_start IS NOT NULL)
-SELECT y::BIGINT AS y, edge::BIGINT AS edge, abs(edge) || '–' || CASE WHEN edge < 0 THEN -edge - 24 ELSE edge + 24 END || CASE WHEN edge < 0 THEN ' BCE' ELSE ' CE' END AS label,
-       CASE WHEN y < 0 THEN (-y) || ' BCE' ELSE y || ' CE' END AS year_label, count(*) AS n FROM e GROUP BY ALL""")
+SELECT y::BIGINT AS y, edge::BIGINT AS edge, CASE WHEN edge < 0 THEN (-edge) || '–' || (-edge - 24) || ' BC' ELSE 'AD ' || edge || '–' || (edge + 24) END AS label,
+       CASE WHEN y < 0 THEN (-y) || ' BC' ELSE 'AD ' || y END AS year_label, count(*) AS n FROM e GROUP BY ALL""")
 def bins_and_labels(spark, folder):
     y = F.col("date_start")
     edge = S.bin_edge(y)

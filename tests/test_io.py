@@ -94,9 +94,15 @@ def test_console(spark):
     assert console(spark, t, "SELECT 1; -- x; y\nSELECT sum(a) AS s FROM t WHERE 'a;b' <> ''").first().s == 10
     assert console(spark, t, "SELECT * FROM t", shown=2).count() == 2
     assert statements("a; 'x;y' ; /* ; */ b") == ["a", "'x;y'", "/* ; */ b"]
-    for bad in ("DROP TABLE t", "SELECT 1; INSERT INTO t VALUES (1)", "SET x = 1"):
+    spark.sql("CREATE TABLE IF NOT EXISTS console_target (a BIGINT) USING parquet")
+    writes = ["WITH x AS (SELECT 1 AS a) INSERT INTO console_target SELECT a FROM x", "FROM t INSERT INTO console_target SELECT a", "CREATE TABLE other AS SELECT 1", "/* SELECT */ DROP TABLE t", "CACHE TABLE t", "REFRESH TABLE t"]
+    for bad in ("DROP TABLE t", "SELECT 1; INSERT INTO t VALUES (1)", "SET x = 1", *writes):
         with pytest.raises(ValueError):
             console(spark, t, bad)
+    assert spark.table("console_target").count() == 0
+    spark.sql("DROP TABLE console_target")
+    for good in ("EXPLAIN SELECT a FROM t", "DESCRIBE t", "WITH x AS (SELECT a FROM t WHERE a IN (SELECT 1)) SELECT * FROM x -- end\n;", "FROM t SELECT a", "SHOW TABLES", "(SELECT 1) UNION ALL (VALUES (2))"):
+        assert console(spark, t, good).count() >= 1, good
 
 
 def test_streams(spark, tmp_path):

@@ -163,3 +163,11 @@ def test_few_is_checked(spark):
     assert spatial.nearest_of_few(p, t, "k").collect()[0].km == 1.0
     with pytest.raises(ValueError):
         spatial.nearest_of_few(p, t, "k", most=1)
+
+
+def test_components_follow_chains(spark):
+    from aeonframe.operators import hierarchy
+
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 6), (9, 9)], "u long, v long")
+    assert {tuple(r) for r in hierarchy.components(pairs).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (6, 6), (7, 6)}
+    assert hierarchy.components(pairs.filter("u > 99")).count() == 0

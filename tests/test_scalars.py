@@ -21,8 +21,8 @@ def test_bins(spark):
 
 
 def test_labels(spark):
-    assert one(spark, [(-400,), (1,), (26,)], "e int", S.bin_label(F.col("e"))) == ["400–376 BCE", "1–25 CE", "26–50 CE"]
-    assert one(spark, [(-5,), (7,), (None,)], "y int", S.year_label(F.col("y"))) == ["5 BCE", "7 CE", None]
+    assert one(spark, [(-400,), (1,), (26,)], "e int", S.bin_label(F.col("e"))) == ["400–376 BC", "AD 1–25", "AD 26–50"]
+    assert one(spark, [(-5,), (7,), (None,)], "y int", S.year_label(F.col("y"))) == ["5 BC", "AD 7", "undated"]
 
 
 def test_numbers(spark):
@@ -41,7 +41,18 @@ def test_places(spark):
     rows = [("Tomba François",), ("Necropoli di Y",), ("A, B",), ("Roma",)]
     assert one(spark, rows, "s string", S.place_level(F.col("s"))) == ["tomb", "necropolis", "locality", "site"]
     assert one(spark, [("Città di Castèllo!",), ("??",)], "s string", S.slug(F.col("s"))) == ["citta-di-castello", "unnamed"]
-    assert one(spark, [("Roma / Urbs (Rome)",)], "s string", S.name_variants(F.col("s"))) == [["roma", "rome", "urbs"]]
+    assert one(spark, [("Roma / Urbs (Rome)",)], "s string", S.name_variants(F.col("s"))) == [["roma", "roma-urbs-rome", "rome", "urbs", "urbs-rome"]]
+    assert one(spark, [("Sepolcro 3",), ("cimitero di X",), ("A - B",)], "s string", S.place_level(F.col("s"))) == ["tomb", "necropolis", "locality"]
+    assert [tuple(f) for f in one(spark, [("Roma?",), ("a (?) b",)], "s string", S.place_flags(F.col("s")))] == [("Roma", 1, 0), ("a (?) b", 0, 0)]
+    assert one(spark, [("Ḥatra ß",), ("ﬁn Ⅷ ½",)], "s string", S.slug(F.col("s"))) == ["hatra", "fin-viii-12"]
+    assert "ateste-este" in one(spark, [("Ateste (Este)",)], "s string", S.name_variants(F.col("s")))[0]
+
+
+def test_labels_are_the_golden_ones(spark):
+    edges = [e if e < 0 else e + 1 for e in range(-800, 125, 25)]
+    want = [f"{-e}–{-e - 24} BC" if e < 0 else f"AD {e}–{e + 24}" for e in edges]
+    assert want[0] == "800–776 BC" and want[-1] == "AD 101–125" and len(want) == 37
+    assert one(spark, [(e,) for e in edges] + [(None,)], "e int", S.bin_label(F.col("e"))) == [*want, "undated"]
 
 
 def test_geography(spark):
