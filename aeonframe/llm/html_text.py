@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, functions as F
 #: At most so many pages train the classifier of blocks: the first by a hash of their id.
 TRAINING_PAGES = 400
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+# Comments, tags with quoted values that are closed, tags with a quote that is open to the end of the page, declarations.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"\s+")
 
@@ -34,11 +35,79 @@ _IN = re.compile(r"(?:^|[^a-z])(?:article|main|content|post|story|entry|body|tex
 FEATURES = ("bias", "log_chars", "link_share", "marks", "in_frame", "named_out", "in_article", "in_main", "named_in", "heading", "list", "short", "hidden", "before", "behind")
 
 
-class Block:
-    __slots__ = ("path", "linked", "flags", "text", "tag")
+#: What an element says of the text in it; a block has the most that any element around it says.
+FLAGS = ("in_frame", "named_out", "in_article", "in_main", "named_in", "list", "hidden")
+#: A name that speaks for and against content counts as so much against it.
+MIXED = 0.15
+
+
+class Element:
+    __slots__ = ("tag", "parent", "depth", "own", "chars", "holds", "flags")
+
+    def __init__(self, tag: str, parent: Element | None, own: dict[str, float]):
+        self.tag, self.parent, self.own = tag, parent, own
+        self.depth = parent.depth + 1 if parent else 0
+        #: Characters of text in it, and whether it holds a sign of an article; known at the end of the page.
+        self.chars, self.holds = 0, tag == "main" or tag == "h1" or tag == "article" and not own.get("named_out")
+        self.flags: dict[str, float] = {}
 
-    def __init__(self, path: tuple[int, ...], tag: str, text: str, linked: int, flags: dict[str, float]):
-        self.path, self.tag, self.text, self.linked, self.flags = path, tag, text, linked, flags
+
+class Block:
+    __slots__ = ("element", "linked", "text")
+
+    def __init__(self, element: Element, text: str, linked: int):
+        self.element, self.text, self.linked = element, text, linked
+
+
+def _said(tag: str, attributes: str, within_article: bool) -> dict[str, float]:
+    """What a start tag says."""
+    own: dict[str, float] = {}
+    named = {k.lower(): (a or b or c).lower() for k, a, b, c in _ATTRIBUTE.findall(attributes)} if attributes else {}
+    names = " ".join(named.get(k, "") for k in ("class", "id", "role", "aria-label", "itemprop"))
+    if tag == "article":
+        own["in_article"] = 1.0
+    if tag == "main" or named.get("role") == "main":
+        own["in_main"] = 1.0
+    # A header within an article holds its title.
+    if tag in FRAME and not (tag == "header" and within_article):
+        own["in_frame"] = 1.0
+    if names.strip() and tag not in ("html", "body"):
+        against, for_ = _OUT.search(_MILD.sub("", names)), _IN.search(names)
+        if against:
+            own["named_out"] = MIXED if for_ else 1.0
+        elif for_:
+            own["named_in"] = 1.0
+    if tag in ("ul", "ol", "dl", "menu"):
+        own["list"] = 1.0
+    if "display:none" in named.get("style", "").replace(" ", "") or named.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", attributes):
+        own["hidden"] = 1.0
+    return own
+
+
+def _weigh(elements: list[Element], found: list[Block]) -> None:
+    """Flags of all elements, from the outermost in, when their texts are known.
+
+    A name or a frame says nothing of an element that holds most of the page
+    and an article in it, or nearly all of the page.
+    """
+    for b in found:
+        b.element.chars += len(b.text)
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.chars += e.chars
+            e.parent.holds |= e.holds
+    whole = elements[0].chars
+    for e in elements:
+        around = e.parent.flags if e.parent else dict.fromkeys(FLAGS, 0.0)
+        own = e.own
+        if own:
+            if 10 * e.chars > 9 * whole or 2 * e.chars > whole and e.holds:
+                own = {k: v for k, v in own.items() if k not in ("in_frame", "named_out")}
+            e.flags = {k: max(around[k], own.get(k, 0.0)) for k in FLAGS}
+            if "in_main" in own:
+                e.flags["named_out"] = own.get("named_out", 0.0)
+        else:
+            e.flags = around
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -46,30 +115,38 @@ def blocks_of(page: str) -> list[Block]:
 
     Tags need not match: an end tag closes the nearest open element of its
     name, or nothing; a block tag closes an open p; list items close one
-    another. Comments, scripts, styles and other silent elements are left out.
+    another; a quote that nothing closes ends with its tag. Comments, scripts,
+    styles and other silent elements are left out. Elements know their parent,
+    so deep nesting costs no more than its tags.
     """
     out: list[Block] = []
-    stack: list[tuple[str, int, dict[str, float]]] = []
-    clear = {"in_frame": 0.0, "named_out": 0.0, "in_article": 0.0, "in_main": 0.0, "named_in": 0.0, "list": 0.0, "hidden": 0.0}
-    serial, at, silent, link = 0, 0, 0, 0
+    root = Element("", None, {})
+    elements = [root]
+    # Tags of all open elements, each with the nearest element that is not inline.
+    stack: list[tuple[str, Element]] = []
+    open_: dict[str, int] = {}
+    at, silent, link = 0, 0, 0
     parts: list[str] = []
-    linked = 0
+    linked = articles = 0
 
     def flush() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            block = next((s for s in reversed(stack) if s[0] not in INLINE), ("", 0, clear))
-            out.append(Block(tuple(s[1] for s in stack if s[0] not in INLINE), block[0], text, linked, block[2]))
+            out.append(Block(stack[-1][1] if stack else root, text, linked))
         parts.clear()
         linked = 0
 
+    def gone(tag: str) -> None:
+        nonlocal silent, link, articles
+        open_[tag] -= 1
+        silent -= tag in SILENT
+        link -= tag == "a"
+        articles -= tag == "article"
+
     def close(k: int) -> None:
-        nonlocal silent, link
         while len(stack) > k:
-            tag = stack.pop()[0]
-            silent -= tag in SILENT
-            link -= tag == "a"
+            gone(stack.pop()[0])
 
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -82,96 +159,90 @@ def blocks_of(page: str) -> list[Block]:
         if not m:
             break
         at = m.end()
-        if not m[2]:
+        ends, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        if not name:
             continue
-        tag = m[2].lower()
+        tag = name.lower()
         if tag in INLINE:
             if tag == "br" and not silent:
                 parts.append(" ")
-        elif not silent or tag in SILENT or m[1]:
+        elif not silent or tag in SILENT or ends:
             flush()
-        if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+        if ends:
+            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if open_.get(tag) else None
+            if k is None:
+                continue
             # An inline end tag doesn't close blocks.
-            if k is not None and not (tag in INLINE and any(s[0] not in INLINE for s in stack[k:])):
-                close(k)
-            elif k is not None:
-                link -= stack[k][0] == "a"
+            if tag in INLINE and any(s[0] not in INLINE for s in stack[k:]):
                 del stack[k]
+                gone(tag)
+            else:
+                close(k)
             continue
-        if tag in VOID or m[3].endswith("/") and tag in ("path", "circle"):
+        if tag in VOID or attributes.endswith("/") and tag in ("path", "circle"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if tag in ENDS_P:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-            if k is not None and all(s[0] in INLINE for s in stack[k + 1 :]):
+        if tag in ENDS_P and open_.get("p"):
+            k = len(stack) - 1
+            while stack[k][0] in INLINE:
+                k -= 1
+            if stack[k][0] == "p":
                 close(k)
         same = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}.get(tag)
-        if same:
+        if same and any(open_.get(t) for t in same):
             stop = {"ul", "ol", "menu", "dl", "table"}
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in same | stop), None)
             if k is not None and stack[k][0] in same:
                 close(k)
-        flags = dict(stack[-1][2] if stack else clear)
+        element = stack[-1][1] if stack else root
         if tag not in INLINE:
-            named = {k.lower(): (a or b or c).lower() for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3] else {}
-            names = " ".join(named.get(k, "") for k in ("class", "id", "role", "aria-label", "itemprop"))
-            if tag == "article":
-                flags["in_article"] = 1.0
-            if tag == "main" or named.get("role") == "main":
-                flags["in_main"], flags["named_out"] = 1.0, 0.0
-            # A header within an article holds its title.
-            if tag in FRAME and not (tag == "header" and flags["in_article"]):
-                flags["in_frame"] = 1.0
-            if names and tag not in ("html", "body"):
-                if _OUT.search(_MILD.sub("", names)):
-                    flags["named_out"] = 1.0
-                elif _IN.search(names):
-                    flags["named_in"] = 1.0
-            if tag in ("ul", "ol", "dl", "menu"):
-                flags["list"] = 1.0
-            if "display:none" in named.get("style", "").replace(" ", "") or named.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", m[3]):
-                flags["hidden"] = 1.0
-        serial += 1
-        stack.append((tag, serial, flags))
+            element = Element(tag, element, _said(tag, attributes, articles > 0))
+            elements.append(element)
+        stack.append((tag, element))
+        open_[tag] = open_.get(tag, 0) + 1
         silent += tag in SILENT
         link += tag == "a"
+        articles += tag == "article"
     flush()
+    _weigh(elements, out)
     return out
 
 
 def features(found: list[Block]) -> np.ndarray:
     out = np.zeros((len(found), len(FEATURES)))
-    body = [i for i, b in enumerate(found) if b.flags["in_article"] or b.flags["in_main"]]
+    body = [i for i, b in enumerate(found) if b.element.flags["in_article"] or b.element.flags["in_main"]]
     for i, b in enumerate(found):
-        f = b.flags
+        f, tag = b.element.flags, b.element.tag
         chars = len(b.text)
         out[i] = (
             1, math.log1p(chars) / 6, min(1.0, b.linked / chars), min(1.0, 20 * sum(b.text.count(x) for x in ".,;:!?") / chars), f["in_frame"], f["named_out"], f["in_article"], f["in_main"], f["named_in"],
-            len(b.tag) == 2 and b.tag[0] == "h", f["list"], chars < 25, f["hidden"], bool(body) and i < body[0], bool(body) and i > body[-1],
+            len(tag) == 2 and tag[0] == "h", f["list"], chars < 25, f["hidden"], bool(body) and i < body[0], bool(body) and i > body[-1],
         )
     return out
 
 
 #: What is known before any page is seen: log odds of content by feature. Training starts from here and is drawn to it.
-PRIOR = dict(zip(FEATURES, (0.4, 0.8, -2.5, 0.6, -12.0, -12.0, 3.0, 1.5, 1.0, 0.5, -0.4, -0.3, -12.0, -2.5, -2.5)))
+PRIOR = dict(zip(FEATURES, (0.4, 0.8, -2.5, 0.6, -9.0, -9.0, 3.0, 1.5, 1.0, 0.5, -0.4, -0.3, -9.0, -2.5, -2.5)))
+#: Capacity of the smoothness edges.
+STRENGTH = 0.5
 
 
-def train(found: list[np.ndarray], rounds: int = 100, pull: float = 0.05) -> np.ndarray:
-    """Weights of content from the blocks of some pages, without labels.
+def train(pages: list[tuple[np.ndarray, list[tuple[int, int, float]]]], rounds: int = 100, pull: float = 0.05) -> np.ndarray:
+    """Weights of content from the features and smoothness edges of some pages, without labels.
 
-    Each page's blocks are labelled by the cut under the present weights; a
-    logistic regression, drawn to the prior, learns from these labels. Three
-    turns do.
+    Each page's blocks are labelled by the cut under the present weights, so
+    neighbours teach what single blocks do not show; a logistic regression,
+    drawn to the prior, learns from these labels. Three turns do.
     """
     prior = np.array([PRIOR[f] for f in FEATURES])
     weights = prior.copy()
-    x = np.concatenate([t for t in found if len(t)]) if any(len(t) for t in found) else np.zeros((0, len(FEATURES)))
+    pages = [p for p in pages if len(p[0])]
+    x = np.concatenate([t for t, _ in pages]) if pages else np.zeros((0, len(FEATURES)))
     for _ in range(3 if len(x) else 0):
-        y = (x @ weights > 0).astype(float)
+        y = np.concatenate([min_cut(t @ weights, edges) for t, edges in pages]).astype(float)
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
             weights = weights - 0.5 * (x.T @ (p - y) / len(x) + pull * (weights - prior))
@@ -247,31 +318,32 @@ def min_cut(cost: np.ndarray, edges: list[tuple[int, int, float]]) -> np.ndarray
             at = to[e]
 
 
-def smoothness(found: list[Block]) -> list[tuple[int, int, float]]:
+def smoothness(found: list[Block], strength: float = STRENGTH) -> list[tuple[int, int, float]]:
     """Edges between blocks: neighbours in page order, more the more ancestors they share; siblings that others stand between."""
     edges = []
-    last_in: dict[tuple[int, ...], int] = {}
+    last_in: dict[int, int] = {}
     for i, b in enumerate(found):
         if i:
-            a = found[i - 1].path
-            shared = 0
-            for x, y in zip(a, b.path):
-                if x != y:
-                    break
-                shared += 1
-            edges.append((i - 1, i, 0.1 + 0.9 * shared / max(len(a), len(b.path), 1)))
-        parent = b.path[:-1]
+            x, y = found[i - 1].element, b.element
+            deepest = max(x.depth, y.depth, 1)
+            while x is not y:
+                if x.depth >= y.depth:
+                    x = x.parent
+                else:
+                    y = y.parent
+            edges.append((i - 1, i, strength * (0.1 + 0.9 * x.depth / deepest)))
+        parent = id(b.element.parent)
         if parent in last_in and last_in[parent] < i - 1:
-            edges.append((last_in[parent], i, 0.5))
+            edges.append((last_in[parent], i, strength * 0.5))
         last_in[parent] = i
     return edges
 
 
-def main_text(page: str, weights: np.ndarray, strength: float = 0.5) -> str:
+def main_text(page: str, weights: np.ndarray, strength: float = STRENGTH) -> str:
     found = blocks_of(page)
     if not found:
         return ""
-    kept = min_cut(features(found) @ weights, [(a, b, strength * c) for a, b, c in smoothness(found)])
+    kept = min_cut(features(found) @ weights, smoothness(found, strength))
     return "\n".join(b.text for b, k in zip(found, kept) if k)
 
 
@@ -281,9 +353,11 @@ def _main_texts(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Itera
         yield pa.record_batch({"page_id": batch.column(0), "url": batch.column(1), "text": pa.array(texts, pa.string()), "n_chars": pa.array(list(map(len, texts)), pa.int64())})
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.record_batch({"x": pa.array([features(blocks_of(x)).tobytes() for x in batch.column(0).to_pylist()], pa.binary())})
+        found = [blocks_of(x) for x in batch.column(0).to_pylist()]
+        edges = [np.array(smoothness(b), float).reshape(-1, 3).tobytes() for b in found]
+        yield pa.record_batch({"x": pa.array([features(b).tobytes() for b in found], pa.binary()), "edges": pa.array(edges, pa.binary())})
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -297,13 +371,15 @@ def main_texts(pages: DataFrame) -> DataFrame:
     page order.
 
     The classifier is trained here on the blocks of at most TRAINING_PAGES
-    pages, without labels, from what is known of tags and names (PRIOR). A
-    null or empty page has an empty text; other columns are left alone; a page
-    may stop anywhere.
+    pages, labelled by the cut itself, from what is known of tags and names
+    (PRIOR). A null or empty page has an empty text; repeated rows give
+    repeated rows, equal pages equal texts; other columns are left alone; no
+    pages give no rows; a page may stop anywhere.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     some = rows.filter("html is not null").select("html", F.xxhash64("page_id", "html").alias("o")).orderBy("o").limit(TRAINING_PAGES).select("html")
-    held = sorted(bytes(r[0]) for r in some.mapInArrow(_features, "x binary").collect())
-    weights = train([np.frombuffer(b, np.float64).reshape(-1, len(FEATURES)) for b in held])
+    held = sorted((bytes(x), bytes(e)) for x, e in some.mapInArrow(_examples, "x binary, edges binary").collect())
+    edges = lambda e: [(int(a), int(b), c) for a, b, c in np.frombuffer(e, np.float64).reshape(-1, 3).tolist()]
+    weights = train([(np.frombuffer(x, np.float64).reshape(-1, len(FEATURES)), edges(e)) for x, e in held])
     schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long"
     return rows.mapInArrow(lambda it: _main_texts(it, weights), schema)
