@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .storage import partitions
 
 SPACES = r"[\x20\x09-\x0D]+"
 _PLACES = 24
-_CELLS = 1 << 14
 
 
 def _neighbours(values: Column, step: int, combine) -> Column:
@@ -77,27 +78,30 @@ def likeness(a: Column, b: Column) -> Column:
 def with_next(documents: DataFrame, columns: list[str], id_col: str = "doc_id") -> DataFrame:
     """documents with `next`, a struct of the columns of the row with the next smaller id; after the last comes the first.
 
-    Rows are dealt by ranges of ids, from counts in 2**14 equal cells; the
-    first row of a range is also dealt to the range before it, so each range
-    finds all its followers in itself, and no task sees more than a range. Equal ids follow one another by the
-    columns; null ids come last.
+    Rows are dealt by ranges of ids that hold about as many rows each,
+    whatever the ids (cut points are approximate quantiles); the first row of a
+    range is also dealt to the range before it, so each range finds all its
+    followers in itself, and no task sees more than a range. Equal ids follow
+    one another by the columns and share a range; null ids come last.
     """
-    key = F.col(id_col).cast("decimal(38,0)")
-    low, high, total = documents.agg(F.min(key), F.max(key), F.count(id_col)).first()
-    step = max(1, -(-int((high or 0) - (low or 0) + 1) // _CELLS))
-    # Equal cells of the ids by falling id; neighbouring cells make ranges of about as many rows.
-    cell = F.coalesce(F.floor((F.lit(int(high or 0)).cast("decimal(38,0)") - key) / F.lit(step)).cast("int"), F.lit(_CELLS))
-    wanted = total / (4 * partitions(documents.sparkSession)) if total else 1
-    counts = sorted(documents.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.max(key).alias("top")).collect())
-    ranges, tops, held = [0] * (_CELLS + 1), [], wanted
-    for c, n, top in counts:
-        if held >= wanted or c == _CELLS:
-            tops.append(top)
-            held = 0
-        ranges[c] = len(tops) - 1
-        held += n
+    key, near = F.col(id_col).cast("decimal(38,0)"), F.col(id_col).cast("double")
+    parts = 4 * partitions(documents.sparkSession)
+    found = documents.agg(F.percentile_approx(near, [i / parts for i in range(1, parts)], 10_000) if parts > 1 else F.lit(None)).first()[0]
+    cuts = sorted(set(found or []), reverse=True)
+    # As many cuts are above an id as ranges are before its own; they are counted by groups, then in one group.
+    width = max(1, math.isqrt(len(cuts)))
+    groups = [cuts[i : i + width] for i in range(0, len(cuts), width)] or [[]]
+    above = lambda values: F.size(F.filter(values, lambda c: c > near))
+    whole = above(F.lit([g[-1] for g in groups])) if cuts else F.lit(0)
+    inner = above(F.get(F.array(*(F.lit(g) for g in groups)), whole)) if cuts else F.lit(0)
+    raw = F.when(key.isNull(), len(cuts) + 1).otherwise(F.least(whole * width + F.greatest(inner, F.lit(0)), F.lit(len(cuts)))).cast("int")
+    numbered = documents.withColumn("_raw", raw)
+    filled = sorted(numbered.groupBy("_raw").agg(F.max(key).alias("top")).collect())
+    ranges, tops = [0] * (len(cuts) + 2), [top for _, top in filled]
+    for n, (r, _) in enumerate(filled):
+        ranges[r] = n
     listed = lambda values: F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",")  # noqa: E731  folded to one constant
-    rows = documents.withColumn("_range", F.get(listed(ranges), cell).cast("int"))
+    rows = numbered.withColumn("_range", F.get(listed(ranges), F.col("_raw")).cast("int")).drop("_raw")
     order = [F.col(id_col).desc_nulls_last(), *[F.col(c).asc_nulls_first() for c in columns[:1]]]
     top = F.get(listed(tops), F.col("_range")).try_cast("decimal(38,0)")
     also = F.when(key.eqNullSafe(top), F.pmod(F.col("_range") - 1, F.lit(max(1, len(tops)))))
@@ -115,7 +119,9 @@ def fingerprinted(documents: DataFrame, k: int = 4, window: int = 16) -> DataFra
     the first as many of the next document by falling doc_id (or all it has).
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next. A null text is an empty one. One document is its
-    own next. Other columns are left alone.
+    own next. Rows that share an id follow one another by their texts, those
+    without one come last. Other columns are left alone; no documents give no
+    rows.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = fingerprints(docs, "text", "own", k, window).withColumn("n_chars", F.length("text").cast("long"))

@@ -272,6 +272,20 @@ def test_next_of_all(spark):
         assert found == {i: f"t{n}" for i, n in zip(down, down[1:] + down[:1])}
 
 
+def test_next_of_far_null_and_repeated_ids(spark):
+    rows = [(i, f"t{i}") for i in range(500)] + [(10**17, "far"), (7, "a"), (7, "b"), (None, "n2"), (None, "n1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted((r.doc_id is None, -(r.doc_id or 0), r.text, r.next.text) for r in W.with_next(df, ["text"]).collect())
+    texts = [f[2] for f in found]
+    assert [f[3] for f in found] == texts[1:] + texts[:1] and texts[0] == "far" and texts[-2:] == ["n1", "n2"]
+
+
+def test_fingerprints_of_odd_rows(spark):
+    rows = cases.rows()
+    assert W.fingerprinted(cases.documents(spark, rows)).count() == len(rows)
+    assert W.fingerprinted(cases.documents(spark, [])).count() == 0
+
+
 # Mixing
 
 
