@@ -140,21 +140,21 @@ def _kept(batches: Iterator[pa.RecordBatch], window: int, with_text: bool) -> It
             yield pa.record_batch(out | ({"kept": pa.array([x.decode() for x in parts], pa.string())} if with_text else {}))
 
 
-def _met(rows: DataFrame, found: DataFrame, key: str, label: str) -> DataFrame:
-    """rows joined with found (key, rows, ...), in which rows says how many rows have the key.
+def _met(rows: DataFrame, found: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """rows joined with found (keys, rows, ...), in which rows says how many rows have the keys.
 
     Keys of more than a thousandth of all rows are less than a thousand, so
-    these are broadcast and their rows stay where they are; others are dealt
-    by the key.
+    these are broadcast: their rows are dealt over as many salts as they have
+    thousandths, and what is found for them goes to each salt.
     """
     found = persisted(found, label)
-    hot = f"rows > {rows.count() / 1000}"
-    others = [c for c in found.columns if c not in (key, "rows")]
-    heavy = found.filter(hot).select(key, F.struct(F.lit(1), *others).alias("hot"))
-    tagged = rows.join(F.broadcast(heavy), key, "left")
-    here = tagged.filter("hot is not null").select(*rows.columns, *(F.col("hot")[c].alias(c) for c in others))
-    dealt = tagged.filter("hot is null").drop("hot").join(found.filter(f"not ({hot})").drop("rows"), key)
-    return here.unionByName(dealt.select(here.columns))
+    part = max(1, rows.count() // 1000)
+    salts = F.ceil(F.col("rows") / part).cast("int")
+    heavy = found.filter(F.col("rows") > part).select(*keys, salts.alias("salts"))
+    salt = F.coalesce(F.pmod(F.xxhash64(*rows.columns), F.col("salts")).cast("int"), F.lit(0))
+    salted = rows.join(F.broadcast(heavy), keys, "left").select(*rows.columns, salt.alias("salt"))
+    spread = found.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("rows")
+    return salted.join(spread, [*keys, "salt"]).drop("salt")
 
 
 def without_repeats(documents: DataFrame, window: int = 50, k: int = 8, with_text: bool = True) -> DataFrame:
@@ -180,16 +180,16 @@ def without_repeats(documents: DataFrame, window: int = 50, k: int = 8, with_tex
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("t"), F.col("text").cast("string").alias("text"))
     marked = persisted(docs.mapInArrow(lambda it: _anchors(it, k, window), "doc_id long, t long, n_words long, whole long, anchors array<long>"), "repeats-anchors")
     long = marked.filter(f"doc_id is not null and n_words >= {window}")
-    equal = long.groupBy("whole", "n_words").agg(F.min("doc_id").alias("least"))
-    long = long.join(equal, ["whole", "n_words"])
+    equal = long.groupBy("whole", "n_words").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
+    long = _met(long, equal, ["whole", "n_words"], "repeats-equal")
     copies = long.filter("doc_id > least").select("doc_id", "t").distinct()
     phrases = persisted(long.filter("doc_id = least").select("doc_id", "t", F.explode("anchors").alias("anchor")), "repeats-phrases")
     recurring = phrases.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("rows")).filter("a <> b").select("anchor", "rows")
-    by_document = _met(phrases, recurring, "anchor", "repeats-recurring").groupBy("doc_id", "t").agg(F.collect_list("anchor").alias("recurring"))
+    by_document = _met(phrases, recurring, ["anchor"], "repeats-recurring").groupBy("doc_id", "t").agg(F.collect_list("anchor").alias("recurring"))
     near = docs.join(by_document, ["doc_id", "t"]).select("doc_id", "t", "text", "recurring")
     windows = persisted(near.mapInArrow(lambda it: _windows(it, k, window), "w long, doc_id long, t long, at int"), "repeats-windows")
     first = windows.groupBy("w").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("rows")).filter("least <> most").select("w", "least", "rows")
-    covered = _met(windows, first, "w", "repeats-first").filter("doc_id > least").groupBy("doc_id", "t").agg(F.collect_list("at").alias("at"))
+    covered = _met(windows, first, ["w"], "repeats-first").filter("doc_id > least").groupBy("doc_id", "t").agg(F.collect_list("at").alias("at"))
     decided = covered.withColumn("copied", F.lit(False)).unionByName(copies.select("doc_id", "t", F.array().cast("array<int>").alias("at"), F.lit(True).alias("copied")))
     placed = docs.join(decided, ["doc_id", "t"], "left").select("doc_id", "t", "text", F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("copied", F.lit(False)).alias("copied"))
     return placed.mapInArrow(lambda it: _kept(it, window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
