@@ -67,5 +67,5 @@ def over_distinct(df: DataFrame, column: str, function, name: str) -> DataFrame:
 
 
 def looks_damaged(c: Column) -> Column:
-    """Marks of UTF-8 read as another code, or of lost characters."""
-    return c.rlike("[ÃÂ][\u0080-¿]|â€|�")
+    """Marks of UTF-8 read as Latin-1 (a lead sign and one that follows it), as Windows-1252, or of lost characters."""
+    return c.rlike("[ÂÃÅÎÐ][\u0080-\u00bf]|â\u0080[\u0080-\u00bf]|â€|�")

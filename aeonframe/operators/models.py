@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 
 def fold_of(key: Column | str, folds: int, seed: int = 0) -> Column:
@@ -49,23 +49,46 @@ def binary_metrics(scored: DataFrame, y: str, p: str, threshold: float = 0.5, di
     )
 
 
+def _drawn(batches: Iterator[pd.DataFrame], by: list[str], sums: list[str], draws: int, cuts: np.ndarray) -> Iterator[pd.DataFrame]:
+    """The weighted sums of each batch by keys and draw."""
+    steps = np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        u = pdf["_h"].to_numpy(np.int64).view(np.uint64)[:, None] + steps
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            u = (u ^ (u >> np.uint64(shift))) * np.uint64(factor)
+        u = ((u ^ (u >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+        weights = np.searchsorted(cuts, u)
+        group = pdf.groupby(by, dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(len(pdf), np.int64)
+        order = np.argsort(group, kind="stable")
+        starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+        keys = pdf[by].iloc[order[starts]].reset_index(drop=True)
+        out = keys.loc[keys.index.repeat(draws)].reset_index(drop=True) if by else pd.DataFrame(index=range(draws))
+        out["draw"] = np.tile(np.arange(draws, dtype=np.int32), len(starts))
+        for s in sums:
+            out[s] = np.add.reduceat(weights[order] * pdf[s].to_numpy(float)[order, None], starts, axis=0).ravel()
+        yield out
+
+
 def cluster_bootstrap(cells: DataFrame, cluster: str, sums: list[str], by: list[str], statistic: Callable[..., Column], draws: int = 200, seed: int = 0) -> DataFrame:
     """By keys: the statistic of the sums, and its 2.5 % and 97.5 % points when clusters are drawn anew.
 
     cells: sums by cluster and keys. A draw gives each cluster a Poisson(1)
     weight from a hash of the cluster and the draw, which is resampling with
-    replacement up to the number drawn; all draws are one expression over one
-    read of the cells, with no copies of the data.
+    replacement up to the number drawn; all draws are made in one
+    read of the cells: a batch gives one row for each key and draw, and no cell
+    is copied.
     """
-    uniform = lambda b: (F.shiftrightunsigned(F.xxhash64(F.col(cluster), F.lit(seed), b), 11).cast("double") + 0.5) / float(1 << 53)
     cuts, term, total = [], np.exp(-1.0), 0.0
     for k in range(12):
         total += term
         cuts.append(total)
         term /= k + 1
-    times = lambda u: F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < u))
-    weighed = cells.select(*by, *sums, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"), cluster).withColumn("times", times(uniform(F.col("draw"))))
-    each = weighed.filter("times > 0").groupBy(*by, "draw").agg(*(F.sum(F.col(s) * F.col("times")).alias(s) for s in sums))
+    kept = cells.select(*by, *(F.col(s).cast("double").alias(s) for s in sums), F.xxhash64(F.col(cluster), F.lit(seed)).alias("_h"))
+    schema = T.StructType([*(kept.schema[c] for c in by), T.StructField("draw", T.IntegerType()), *(T.StructField(s, T.DoubleType()) for s in sums)])
+    weighed = kept.mapInPandas(lambda batches: _drawn(batches, by, sums, draws, np.array(cuts)), schema)
+    each = weighed.groupBy(*by, "draw").agg(*(F.sum(s).alias(s) for s in sums))
     each = each.withColumn("stat", statistic(*(F.col(s) for s in sums)))
     band = each.groupBy(*by).agg(F.percentile("stat", 0.025).alias("low"), F.percentile("stat", 0.975).alias("high"), F.stddev("stat").alias("se"))
     whole = cells.groupBy(*by).agg(*(F.sum(s).alias(s) for s in sums)).withColumn("estimate", statistic(*(F.col(s) for s in sums)))

@@ -284,10 +284,15 @@ def name_similarity(spark, folder):
     return pairs.select("n_nationkey", "other", F.round(U.similarity(F.lower("n_name"), F.lower("name2")), 6).alias("score"))
 
 
-@query("SRC_22_period_bounds")
+_PERIOD_TEXTS = ["Republic (330 BC - AD 300)", "640 BC to 30 BC", "(200 - 100 BC)", "late (500 BC - 400 BC), again ( AD 1 - AD 300 )", "no years", "(30 BC - 640 BC)", "(1-25)"]
+_SPAN = r"\(\s*(AD\s*)?([0-9]+)\s*(BC)?\s*-\s*(AD\s*)?([0-9]+)\s*(BC)?\s*\)"
+
+
+@query("SRC_22_period_bounds", rf"""WITH t AS (SELECT unnest([{", ".join(f"'{x}'" for x in _PERIOD_TEXTS)}]) AS t), l AS (SELECT t, regexp_extract_all(t, '{_SPAN}')[-1] AS s FROM t),
+y AS (SELECT t, CAST(regexp_extract(s, '{_SPAN}', 2) AS BIGINT) * CASE WHEN regexp_extract(s, '{_SPAN}', 3) = '' THEN 1 ELSE -1 END AS a, CAST(regexp_extract(s, '{_SPAN}', 5) AS BIGINT) * CASE WHEN regexp_extract(s, '{_SPAN}', 6) = '' THEN 1 ELSE -1 END AS b FROM l)
+SELECT t, least(a, b) AS start, greatest(a, b) AS stop FROM y""")
 def period_bounds(spark, folder):
-    texts = [("(330 BC - AD 300)",), ("640 BC to 30 BC",), ("200-100 BC",), ("AD 1 - AD 300",), ("no years",)]
-    rows = spark.createDataFrame(texts, "t string")
+    rows = spark.createDataFrame([(x,) for x in _PERIOD_TEXTS], "t string")
     return rows.select("t", readers.period_bounds(F.col("t")).alias("b")).select("t", "b.start", "b.stop")
 
 

@@ -161,17 +161,17 @@ def popup_degrees(text: Column) -> Column:
     return F.when(F.upper(parts(4)).isin("S", "W"), -value).otherwise(value)
 
 
-def period_bounds(text: Column) -> Column:
-    """struct(start, stop) of signed years from text such as '(330 BC - AD 300)' or '640 BC to 30 BC'."""
-    years = F.regexp_extract_all(text, F.lit(r"(?i)((?:AD|CE)?\s*[0-9]{1,4}\s*(?:BCE|BC|AD|CE)?)"), F.lit(1))
+# Fixed value: a span of years as the vocabulary of periods writes it.
+PERIOD_SPAN = r"\(\s*(AD\s*)?([0-9]+)\s*(BC)?\s*-\s*(AD\s*)?([0-9]+)\s*(BC)?\s*\)"
 
-    def signed(y: Column, later: Column) -> Column:
-        n = F.regexp_replace(y, "[^0-9]", "").try_cast("int")
-        bare = ~y.rlike("(?i)[a-z]")
-        return F.when(y.rlike("(?i)B") | (bare & later.rlike("(?i)B")), -n).otherwise(n)
 
-    first, last = F.get(years, F.lit(0)), F.get(years, F.lit(1))
-    return F.struct(signed(first, F.coalesce(last, F.lit(""))).alias("start"), signed(last, F.lit("")).alias("stop"))
+def period_bounds(text: Column) -> Column:
+    """struct(start, stop): the least and the greatest signed year of the last '(330 BC - AD 300)' in a text; null without one."""
+    last = F.try_element_at(F.regexp_extract_all(text, F.lit(PERIOD_SPAN), F.lit(0)), F.lit(-1))
+    part = lambda i: F.regexp_extract(last, PERIOD_SPAN, i)
+    year = lambda n, bc: F.when(part(bc) != "", -part(n).try_cast("int")).otherwise(part(n).try_cast("int"))
+    both = F.array(year(2, 3), year(5, 6))
+    return F.struct(F.array_min(both).alias("start"), F.array_max(both).alias("stop"))
 
 
 def periods(spark: SparkSession, path: str, keyword: str, low: int = -900, high: int = 400) -> DataFrame:

@@ -57,9 +57,9 @@ def test_markup(spark, tmp_path):
     assert [(r.row, r.cells) for r in R.scraped_rows(pages, "k", "h").collect()] == [(0, ["A", "b c"]), (1, [])]
     df = spark.createDataFrame([("41° 30' 36\" N",), ("12.5 W",), ("none",)], "t string")
     assert [r[0] for r in df.select(R.popup_degrees(F.col("t"))).collect()] == [41.51, -12.5, None]
-    texts = spark.createDataFrame([("(330 BC - AD 300)",), ("640 BC to 30 BC",), ("200-100 BC",), ("no",)], "t string")
+    texts = spark.createDataFrame([("(330 BC - AD 300)",), ("640 BC to 30 BC",), ("(200 - 100 BC)",), ("a (5 BC - AD 9), b (30 BC - 640 BC)",), ("no",)], "t string")
     bounds = [tuple(r[0]) for r in texts.select(R.period_bounds(F.col("t"))).collect()]
-    assert bounds == [(-330, 300), (-640, -30), (-200, -100), (None, None)]
+    assert bounds == [(-330, 300), (None, None), (-100, 200), (-640, -30), (None, None)]
     (tmp_path / "p.json").write_text(json.dumps({"periods": {"u1": {"label": "A", "start": "-500", "stop": "-300", "coverage": "Italy"}, "u2": {"label": "B", "start": "x", "stop": "1", "coverage": "Italy"}, "u3": {"label": "C", "start": "-5", "stop": "1", "coverage": "Gaul"}}}))
     assert [r.uri for r in R.periods(spark, str(tmp_path / "p.json"), "italy").collect()] == ["u1"]
 

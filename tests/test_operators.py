@@ -171,3 +171,28 @@ def test_components_follow_chains(spark):
     pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (7, 6), (9, 9)], "u long, v long")
     assert {tuple(r) for r in hierarchy.components(pairs).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (6, 6), (7, 6)}
     assert hierarchy.components(pairs.filter("u > 99")).count() == 0
+
+
+def test_wkt_grammar_and_closed_members():
+    from aeonframe.operators import geometry as G
+
+    assert G.from_wkt("MULTIPOINT ((1 2), (3 4.5e0))") == G.from_wkt("multipoint(1 2,3 4.5)") == {"type": "MultiPoint", "coordinates": [[1.0, 2.0], [3.0, 4.5]]}
+    for broken in ("POINT (1)", "POINT (1 2", "POINT (1 2) x", "POINT ((1 2))", "POLYGON (1 2, 3 4)", "LINESTRING (1 2,)", "LINESTRING EMPTY", "", "SRID=4326"):
+        assert G.from_wkt(broken) is None, broken
+    way = lambda *p: {"geometry": [{"lon": x, "lat": y} for x, y in p]}
+    ring = way((0, 0), (1, 0), (1, 1), (0, 0))
+    assert G.of_osm_element({"type": "relation", "members": [ring, way((0, 0), (1, 0))]}) == {"type": "MultiPolygon", "coordinates": [[[[0, 0], [1, 0], [1, 1], [0, 0]]]]}
+    assert G.of_osm_element({"type": "relation", "members": [way((0, 0), (1, 0))]}) is None
+
+
+def test_bootstrap_weights_follow_the_cluster(spark):
+    import numpy as np
+    from aeonframe.operators import models as M
+
+    cells = spark.createDataFrame([(c, "ab"[c % 2], float(c % 3 == 0), 1.0) for c in range(400)] + [(0, None, 1.0, 2.0)], "c int, k string, y double, n double")
+    rows = {r.k: r for r in M.cluster_bootstrap(cells.repartition(3), "c", ["y", "n"], ["k"], lambda y, n: y / n).collect()}
+    again = {r.k: r for r in M.cluster_bootstrap(cells.coalesce(1), "c", ["y", "n"], ["k"], lambda y, n: y / n).collect()}
+    assert all(np.allclose(rows[k][1:], again[k][1:]) for k in "ab") and rows[None].estimate == again[None].estimate == 0.5
+    for k in "ab":
+        assert abs(rows[k].estimate - 1 / 3) < 0.02 and rows[k].low < rows[k].estimate < rows[k].high
+        assert abs(rows[k].se - np.sqrt(2 / 9 / 200)) < 0.01
