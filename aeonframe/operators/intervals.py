@@ -32,13 +32,29 @@ def expand(records: DataFrame, low: int | None = None, high: int | None = None)
     """
     a = F.col("ord_start") if low is None else F.greatest("ord_start", F.lit(low))
     b = F.col("ord_end") if high is None else F.least("ord_end", F.lit(high))
-    inside = records.filter(F.col("ord_start").isNotNull() & (a <= b))
-    return inside.withColumn("ord", F.explode(F.sequence(a, b))).withColumn("w", F.lit(1.0) / F.col("n_bins"))
+    rows = records.filter(F.col("ord_start").isNotNull())
+    # A filter on a and b, or the one on empty sequences that a plain explode brings, would go down to the scan
+    # with all that makes them put in many times over; what explode_outer makes is filtered after it.
+    if low is None and high is None:
+        rows = rows.withColumn("ord", F.explode_outer(F.sequence(a, b)))
+    else:
+        rows = rows.withColumn("ord", F.explode_outer(F.when(a <= b, F.sequence(a, b)))).filter("ord is not null")
+    return rows.withColumn("w", F.lit(1.0) / F.col("n_bins"))
+
+
+def counted(records: DataFrame, *by: str) -> DataFrame:
+    """Records of equal keys and bins as one row, with their number `records`.
+
+    Intervals of some hundred bins are few, however many records there are, so
+    sums over bins expand these rows and not the records.
+    """
+    same = records.filter("ord_start is not null").groupBy(*by, "ord_start", "ord_end").agg(F.count("*").alias("records"))
+    return same.withColumn("n_bins", F.col("ord_end") - F.col("ord_start") + 1)
 
 
 def axis(records: DataFrame, least: float = 0.5) -> DataFrame:
     """(ord, edge, label): from the first to the last bin that has weight `least` or a start."""
-    weight = expand(records).groupBy("ord").agg(F.sum("w").alias("w")).filter(F.col("w") >= least).select("ord")
+    weight = expand(counted(records)).groupBy("ord").agg(F.sum(F.col("w") * F.col("records")).alias("w")).filter(F.col("w") >= least).select("ord")
     seen = weight.union(records.filter("ord_start is not null").select("ord_start"))
     ends = seen.agg(F.min("ord").alias("a"), F.max("ord").alias("b")).filter("a is not null")
     bins = ends.select(F.explode(F.sequence("a", "b")).alias("ord"))
@@ -52,8 +68,9 @@ def timeline(records: DataFrame, *by: str, low: int | None = None, high: int | N
     A record is of a bin with chance w, so the count is Poisson-binomial: its
     expectation is the sum of w, its variance the sum of w (1 - w).
     """
-    rows = expand(records, low, high).groupBy(*by, "ord")
-    return rows.agg(F.count("*").alias("possible"), F.sum("w").alias("expected"), F.sqrt(F.sum(F.col("w") * (1 - F.col("w")))).alias("sd"))
+    rows = expand(counted(records, *by), low, high).groupBy(*by, "ord")
+    w, n = F.col("w"), F.col("records")
+    return rows.agg(F.sum(n).alias("possible"), F.sum(n * w).alias("expected"), F.sqrt(F.sum(n * w * (1 - w))).alias("sd"))
 
 
 def start_timeline(records: DataFrame, *by: str) -> DataFrame:
