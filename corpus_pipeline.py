@@ -54,5 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Hashes of shingles and trained models are not for SQL; the tests hold run() against brute force.
+#: Hashes of shingles and trained models are not for SQL; the tests hold each stage against its operator, run() against the stages.
 ORACLE_SQL = None
