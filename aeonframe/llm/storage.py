@@ -39,6 +39,20 @@ def persisted(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, column: str, buckets: int, label: str) -> DataFrame:
+    """As persisted, cut by column into so many buckets, so that groups by it need no shuffle.
+
+    Spark keeps buckets of tables only, so the rows become one, outside the
+    warehouse in the shared folder. More buckets than Spark allows are not made.
+    """
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    name = f"aeonframe_{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/aeonframe/{name}"
+    df.write.format("parquet").bucketBy(min(buckets, most), column).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until df has no column of that name in any case."""
     taken = {c.lower() for c in df.columns}

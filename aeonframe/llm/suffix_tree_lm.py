@@ -8,27 +8,44 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .storage import persisted
+from .storage import bucketed, persisted
 from .words import Chunk, Hasher, chunks, mix
 
 _U = np.uint64
 #: Words in a block of documents that is scored in one place.
 BLOCK_WORDS = 2_000_000
+#: Tokens of the corpus for each part of the tree; contexts that end in a word seen more often are dealt over several parts.
+PART_TOKENS = 1_000_000
+#: Bytes of text for each bucket of blocks, and for each part of the vocabulary.
+BUCKET_BYTES = 8 << 20
 #: A context has at most so many tokens.
 DEPTH = 3
 #: Words and contexts seen so often in the training texts are told apart, at any size of the corpus.
 LEAST = 2
-#: Rows of a batch that is handed to Spark.
-_ROWS = 100_000
-_OTHER, _START, _END, _FIRST = 0, 1, 2, 3  # symbols; words told apart are hashes, and in a block numbers from _FIRST on
+_OTHER, _START, _END, _NONE, _FIRST = 0, 1, 2, 3, 4  # symbols; words told apart have numbers from _FIRST on
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers or floats of one width, byte by byte of the same weight, compressed."""
+    held = np.concatenate([np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.ravel() for c in columns])
+    return pa.compress(held.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(body: bytes, rows: int, columns: int = 1, kind: type = np.int64) -> np.ndarray:
+    """The columns that _packed made, as rows of an array."""
+    width = np.dtype(kind).itemsize
+    held = pa.decompress(body, decompressed_size=rows * columns * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(columns, width, rows).transpose(0, 2, 1)).view(kind)[..., 0]
 
 
 class _Block:
     """Documents as numbers of words, and the words."""
 
-    def __init__(self) -> None:
+    def __init__(self, shares: int) -> None:
+        self.shares = shares
         self.names: list[np.ndarray] = []
         self.words: list[pa.Array] = []
         self.all: list[np.ndarray] = []
@@ -46,7 +63,7 @@ class _Block:
         self.words.append(c.texts(first))
         self.all.append(np.bincount(which, minlength=len(names)))
         self.train.append(np.bincount(which, weights=train, minlength=len(names)).astype(np.int64))
-        self.numbers.append(which)
+        self.numbers.append(which.astype(np.int32))
         self.docs.append(ids)
         self.held.append(held)
         self.sizes.append(np.diff(c.first))
@@ -59,118 +76,74 @@ class _Block:
         number = np.empty(len(names), np.int32)
         number[order] = np.arange(len(names))
         starts = np.cumsum([0, *map(len, self.names)])
-        numbers = [number[which[a:b]][n] for a, b, n in zip(starts, starts[1:], self.numbers)]
-        packed = pa.compress(np.concatenate(numbers).astype(np.int32).tobytes(), codec="zstd", asbytes=True)
-        words = pa.concat_arrays(self.words).take(pa.array(first[order])).cast(pa.string())
+        numbers = np.concatenate([number[which[a:b]][n] for a, b, n in zip(starts, starts[1:], self.numbers)])
+        words, counts = pa.concat_arrays(self.words).take(pa.array(first[order])), total(self.train)[order]
+        share = (names[order] % _U(self.shares)).astype(np.int64)
+        parts = []
+        for v in np.unique(share):
+            mine = np.flatnonzero(share == v)
+            # No word has a space in it.
+            said = b" ".join(w.as_py().encode() for w in words.take(pa.array(mine)))
+            parts.append({"share": int(v), "rows": len(mine), "size": len(said), "words": pa.compress(said, codec="zstd", asbytes=True), "body": _packed(mine, counts[mine])})
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
         block = int.from_bytes(os.urandom(8), "little", signed=True)
         return pa.record_batch({
             "block": pa.array([block], pa.int64()), "ids": one(pa.concat_arrays(self.docs)), "held": one(pa.array(np.concatenate(self.held))), "sizes": one(pa.array(np.concatenate(self.sizes).astype(np.int64))),
-            "numbers": pa.array([packed], pa.binary()), "words": one(words), "counts": one(pa.array(total(self.train)[order])),
+            "numbers": pa.array([_packed(numbers)], pa.binary()), "vocabulary": pa.array([parts], pa.list_(_PART)),
         })
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher, block = Hasher(), _Block()
+_PART = pa.struct([("share", pa.int64()), ("rows", pa.int64()), ("size", pa.int64()), ("words", pa.binary()), ("body", pa.binary())])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], shares: int) -> Iterator[pa.RecordBatch]:
+    hasher, block = Hasher(), _Block(shares)
     for batch in batches:
         held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
         for rows, c in chunks(batch.column(1), lower=True):
             block.add(batch.column(0)[rows.start : rows.stop], held[rows], c, hasher.words(c.data, c.starts, c.ends))
             if block.held_words >= BLOCK_WORDS:
                 yield block.row()
-                block = _Block()
+                block = _Block(shares)
     if block.docs:
         yield block.row()
 
 
-def _unpacked(batch: pa.RecordBatch | pa.Table, i: int) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of the words of a block, and bounds of its documents."""
-    sizes = batch.column("sizes")[i].values.to_numpy()
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    held = pa.decompress(batch.column("numbers")[i].as_py(), decompressed_size=4 * int(at[-1]), codec="zstd", asbytes=True)
-    return np.frombuffer(held, np.int32), at
-
+def _told(share: pa.Table, shares: int, part_tokens: int) -> pa.Table:
+    """Of one share of the vocabulary, back to each block: numbers, symbols and counts in all training texts of its words.
 
-def _stream(symbols: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of documents one after the other, each with its start and end; and where each starts."""
-    documents = np.arange(len(at) - 1)
-    bounds = at[:-1] + 2 * documents
-    out = np.empty(len(symbols) + 2 * len(documents), np.int64)
-    out[np.arange(len(symbols)) + 2 * np.repeat(documents, np.diff(at)) + 1] = symbols
-    out[bounds] = _START
-    out[at[1:] + 2 * documents + 1] = _END
-    return out, bounds
-
-
-def _contexts(stream: np.ndarray, bounds: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places with so many symbols before them in their document, and hashes of those."""
-    place = np.arange(len(stream)) - np.repeat(bounds, np.diff(np.append(bounds, len(stream))))
-    at = np.flatnonzero(place >= max(depth, 1))
-    h = np.full(len(at), depth, _U)
-    for back in range(1, depth + 1):
-        h = mix(h * _U(0x9E3779B97F4A7C15) + stream[at - back].astype(_U) + _U(1))
-    return at, h
+    The first row says what the share adds to the totals, and which words are
+    seen most often. Frequent words get low symbols.
+    """
+    said = [pa.decompress(w, decompressed_size=n, codec="zstd", asbytes=True).decode().split(" ") for w, n in zip(share["words"].to_pylist(), share["size"].to_pylist())]
+    sizes = share["rows"].to_numpy()
+    bodies = [_unpacked(b, n, 2) for b, n in zip(share["body"].to_pylist(), sizes)]
+    which = pc.dictionary_encode(pa.chunked_array([pa.array(s, pa.large_string()) for s in said]).combine_chunks()).indices.to_numpy()
+    count = np.bincount(which, weights=np.concatenate([b[1] for b in bodies])).astype(np.int64)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
+    symbol = np.where(count >= LEAST, _FIRST + rank * shares + share["share"][0].as_py(), _OTHER)
+    ends = np.cumsum(sizes)
+    bodies = [_packed(b[0], symbol[w], count[w]) for b, w in zip(bodies, np.split(which, ends[:-1]))]
+    first = np.arange(len(sizes)) == 0
+    often = np.flatnonzero(count > part_tokens)
+    out = {"block": share["block"], "kind": np.full(len(sizes), -1), "rows": sizes, "body": pa.array(bodies, pa.binary()), "tokens": count.sum() * first, "kinds": (count > 0).sum() * first}
+    out |= {"told": np.sum((count + 0.1)[count >= LEAST]) * first, "often": pa.array([symbol[often].tolist()] + [[]] * (len(sizes) - 1), pa.list_(pa.int64())), "seen": pa.array([count[often].tolist()] + [[]] * (len(sizes) - 1), pa.list_(pa.int64()))}
+    return pa.table(out)
 
 
 def _longer(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """The hash of a pair of a context and its next symbol."""
     return mix(context * _U(0xAF251AF3B0F025B5) + symbol.astype(_U) + _U(1))
 
 
-def _local(batch: pa.RecordBatch | pa.Table, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a coded block: its stream in numbers of the block, bounds of its documents, and of each number the symbol (the same in all blocks) and the count."""
-    numbers, at = _unpacked(batch, i)
-    told = batch.column("symbols")[i].values.to_numpy()
-    stream, bounds = _stream(np.where(told != _OTHER, np.arange(len(told)) + _FIRST, _OTHER)[numbers], at)
-    return stream, bounds, np.concatenate([[_OTHER, _START, _END], told]), batch.column("counts")[i].values.to_numpy()
-
-
-def _grams(batches: Iterator[pa.RecordBatch], totals: Totals) -> Iterator[pa.RecordBatch]:
-    """Of each block, the training texts' pairs of a context and its next symbol, with their counts.
-
-    shorter is the pair whose context lacks the first symbol; where that
-    context is empty, q is the chance of the next symbol in it.
-    """
-    for batch in batches:
-        for i in range(batch.num_rows):
-            stream, bounds, symbols, counts = _local(batch, i)
-            root = totals.root(counts)
-            train = np.repeat(~batch.column("held")[i].values.to_numpy(zero_copy_only=False).astype(bool), np.diff(np.append(bounds, len(stream))))
-            named = symbols[stream]
-            before = np.zeros(len(stream), _U)
-            for depth in range(1, DEPTH + 1):
-                at, all_h = _contexts(named, bounds, depth)
-                places, h = at[train[at]], all_h[train[at]]
-                pair, first, n = np.unique(_longer(h, named[places]), return_index=True, return_counts=True)
-                places, h = places[first], h[first]
-                shorter = _longer(before[places], named[places])
-                q = root[stream[places]] if depth == 1 else np.zeros(len(places))
-                whole = pa.record_batch({"context": h.view(np.int64), "pair": pair.view(np.int64), "shorter": shorter.view(np.int64), "depth": np.full(len(pair), depth, np.int32), "q": q, "n": n.astype(np.int64)})
-                yield from (whole.slice(k, _ROWS) for k in range(0, len(pair), _ROWS))
-                before[at] = all_h
-
-
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each block, the different pairs of a context and its next symbol in all texts."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            stream, bounds, symbols, _ = _local(batch, i)
-            named = symbols[stream]
-            for depth in range(1, DEPTH + 1):
-                places, h = _contexts(named, bounds, depth)
-                pair, first = np.unique(_longer(h, named[places]), return_index=True)
-                whole = pa.record_batch({"block": np.full(len(pair), batch.column("block")[i].as_py(), np.int64), "context": h[first].view(np.int64), "pair": pair.view(np.int64)})
-                yield from (whole.slice(k, _ROWS) for k in range(0, len(pair), _ROWS))
-
-
 @dataclass
 class Totals:
-    """Of the training texts: all tokens, different ones, texts; and of the words told apart: their counts, or only the sum of those and 0.1 each."""
+    """Of the training texts: all tokens, different ones, texts, and the sum of the counts of words told apart and 0.1 each."""
 
     tokens: int
     kinds: int
     texts: int
-    told: np.ndarray | float
+    told: float
 
     @property
     def norm(self) -> float:
@@ -179,122 +152,224 @@ class Totals:
     @property
     def other(self) -> float:
         """What the words not told apart have of norm, one that is new among them."""
-        told = self.told if isinstance(self.told, float) else float(np.sum(self.told + 0.1))
-        return self.norm - told - (self.texts + 0.1)
+        return self.norm - self.told - (self.texts + 0.1)
 
-    def root(self, counts: np.ndarray | None = None) -> np.ndarray:
-        """Chances of symbols without context, those of the base score: of all words told apart, or of words with the given counts."""
-        out = np.concatenate([[self.other, 0.0, self.texts + 0.1], (self.told if counts is None else counts) + 0.1]) / self.norm
-        return np.maximum(out, 1e-300)
+    def root(self, symbol: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Chances of symbols without context, those of the base score."""
+        mass = np.where(symbol == _OTHER, self.other, np.where(symbol == _END, self.texts, count) + 0.1)
+        return np.maximum(mass / self.norm, 1e-300)
 
 
 @dataclass
-class Order:
-    """Contexts of one depth: hashes (ascending), totals, numbers of next symbols; pairs and their counts; the totals' parts."""
-
-    context: np.ndarray
-    total: np.ndarray
-    kinds: np.ndarray
-    pair: np.ndarray
-    n: np.ndarray
+class Dealt:
+    """How the tree is cut: contexts go to parts by their last word.
 
+    Those that end in a word of `words` (ascending) are dealt over `salts`
+    parts by the word before it, and those that end in a pair of `pairs`
+    (hash, ascending) over `pair_salts` by the one before that.
+    """
 
-@dataclass
-class SuffixTree:
-    root: np.ndarray
-    orders: list[Order]
-
-    def chance(self, stream: np.ndarray, bounds: np.ndarray, places: np.ndarray, symbols: np.ndarray | None = None) -> np.ndarray:
-        """Chances of the symbols at places, given the longest context in the tree before each.
-
-        With symbols, the stream has numbers of a block, and contexts are made
-        of the symbols of those.
-
-        The counts of a context are smoothed with the chances that the next
-        shorter one in the tree gives, which weigh as much as the context has
-        different next symbols.
-        """
-        p = np.zeros(len(stream))
-        p[places] = self.root[stream[places]]
-        stream = stream if symbols is None else symbols[stream]
-        for depth, o in enumerate(self.orders, 1):
-            if not len(o.context):
-                continue
-            at, h = _contexts(stream, bounds, depth)
-            i = np.minimum(np.searchsorted(o.context, h), len(o.context) - 1)
-            hit = o.context[i] == h
-            at, h, i = at[hit], h[hit], i[hit]
-            wanted = _longer(h, stream[at])
-            j = np.minimum(np.searchsorted(o.pair, wanted), len(o.pair) - 1)
-            seen = np.where(o.pair[j] == wanted, o.n[j], 0)
-            p[at] = (seen + o.kinds[i] * p[at]) / (o.total[i] + o.kinds[i])
-        return p[places]
-
-
-def grow(coded: DataFrame, totals: Totals) -> DataFrame:
-    """The tree as a table: context, pair, depth, n, total, kinds for each pair of a context in it and a next symbol.
-
-    A context of at least LEAST tokens stays if its next symbols diverge from
-    those after the context without its first symbol: the gain in log
-    likelihood must pay half a logarithm of its count for each different next
-    symbol (the Bayesian criterion). The table grows with the corpus and is
-    never gathered.
+    parts: int
+    words: np.ndarray
+    salts: np.ndarray
+    pairs: np.ndarray
+    pair_salts: np.ndarray
+
+    @staticmethod
+    def _at(held: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(held):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+        return at, held[at] == wanted
+
+    def often(self, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._at(self.words, last)
+
+    def often_pair(self, last: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self._at(self.pairs, _longer(last.astype(_U), second))
+
+    def route(self, last: np.ndarray, second: np.ndarray, third: np.ndarray) -> np.ndarray:
+        h = mix(last.astype(_U) + _U(0x9E3779B97F4A7C15))
+        at, hit = self.often(last)
+        if hit.any():
+            h[hit] = mix(h[hit] + _U(1) + mix(second[hit].astype(_U)) % self.salts[at[hit]].astype(_U))
+            at, hit = self.often_pair(last, second)
+            h[hit] = mix(h[hit] + _U(1) + mix(third[hit].astype(_U) + _U(5)) % self.pair_salts[at[hit]].astype(_U))
+        return (h % _U(self.parts)).astype(np.int64)
+
+    def parts_of(self, last: int, second: int | None, pairs: list[tuple[int, int]]) -> list[int]:
+        """The parts that hold contexts which end in the word last, or in second and last."""
+        salts = int(self.salts[np.searchsorted(self.words, last)])
+        base = mix(np.array([last], _U) + _U(0x9E3779B97F4A7C15))
+        found: list[np.ndarray] = [] if second is not None else [mix(base + _U(1) + np.arange(salts, dtype=_U))]
+        for a, b in pairs:
+            if a == last and (second is None or b == second):
+                at, _ = self.often_pair(np.array([a]), np.array([b]))
+                h = mix(base + _U(1) + mix(np.array([b], _U)) % _U(salts))
+                found.append(mix(h + _U(1) + np.arange(int(self.pair_salts[at[0]]), dtype=_U)))
+        return np.unique(np.concatenate(found) % _U(self.parts)).astype(np.int64).tolist()
+
+
+class _Stream:
+    """A block in symbols: at each token but starts, the symbol, its count, and those before it."""
+
+    def __init__(self, block: pa.Table, words: pa.Table):
+        self.sizes = block["sizes"][0].values.to_numpy()
+        self.held = block["held"][0].values.to_numpy(zero_copy_only=False).astype(bool)
+        n = int(self.sizes.sum())
+        bodies = [_unpacked(b, rows, 3) for b, rows in zip(words["body"].to_pylist(), words["rows"].to_pylist())]
+        number, symbol, count = np.concatenate(bodies, axis=1) if bodies else np.zeros((3, 0), np.int64)
+        by_number = np.empty((2, len(number)), np.int64)
+        by_number[:, number] = symbol, count
+        numbers = _unpacked(block["numbers"][0].as_py(), n, kind=np.int32)[0]
+        # Each text ends with an end.
+        self.ends = np.cumsum(self.sizes + 1)
+        word = np.ones(len(numbers) + len(self.sizes), bool)
+        word[self.ends - 1] = False
+        self.word, self.symbol, self.count = word, np.full(len(word), _END), np.zeros(len(word), np.int64)
+        self.symbol[word], self.count[word] = by_number[:, numbers]
+        place = np.arange(len(word)) - np.repeat(self.ends - self.sizes - 1, self.sizes + 1)
+        self.before = []
+        for back in range(1, DEPTH + 1):
+            said = np.full(len(word), _NONE)
+            said[back:] = self.symbol[:-back]
+            self.before.append(np.where(place >= back, said, np.where(place == back - 1, _START, _NONE)))
+        self.train = np.repeat(~self.held, self.sizes + 1)
+
+    def grams(self, depth: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of different symbols with so many before them, ascending, and which of these each of the places at is."""
+        names = np.unique(np.concatenate([self.symbol[at], *(b[at] for b in self.before)]))
+        k = len(names) + 1
+        which = np.searchsorted(names, self.symbol[at])
+        for b in self.before[:depth]:
+            _, first, which = np.unique(which * k + np.searchsorted(names, b[at]), return_index=True, return_inverse=True)
+        return at[first] if len(at) else at, which
+
+
+def _heads(block: pa.Table, words: pa.Table, dealt: Dealt, depth: int) -> pa.Table:
+    """Of contexts dealt over several parts, the block's training counts of next symbols."""
+    s = _Stream(block, words)
+    last, second = s.before[0], s.before[1]
+    salt, hit = dealt.often(last)
+    salts = dealt.salts[salt] if len(dealt.salts) else salt
+    if depth == 2:
+        at, pair = dealt.often_pair(last, second)
+        hit, salts = hit & pair, dealt.pair_salts[at] if len(dealt.pairs) else at
+    places, which = s.grams(depth, np.flatnonzero(hit & s.train))
+    n = np.bincount(which, minlength=len(places))
+    share = mix(s.symbol[places].astype(_U)) % np.maximum(salts[places], 1).astype(_U)
+    key = (last[places], np.where(depth == 2, second[places], _NONE), share.astype(np.int64))
+    order = np.lexsort(key[::-1])
+    key, places, n = [k[order] for k in key], places[order], n[order]
+    new = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in key], axis=0))) if len(places) else np.zeros(0, np.int64)
+    bounds = np.append(new, len(places))
+    bodies = [_packed(s.symbol[places[a:b]], s.count[places[a:b]], n[a:b]) for a, b in zip(bounds, bounds[1:])]
+    return pa.table({"last": key[0][new], "second": key[1][new], "share": key[2][new], "rows": np.diff(bounds), "body": pa.array(bodies, pa.binary())})
+
+
+def _summed(rows: pa.Table, part_tokens: int) -> pa.Table:
+    """The counts of next symbols of one head, of all blocks."""
+    symbol, count, n = np.concatenate([_unpacked(b, r, 3) for b, r in zip(rows["body"].to_pylist(), rows["rows"].to_pylist())], axis=1)
+    symbol, first, which = np.unique(symbol, return_index=True, return_inverse=True)
+    n = np.bincount(which, weights=n).astype(np.int64)
+    often = n > part_tokens
+    return pa.table({
+        "last": rows["last"][:1], "second": rows["second"][:1], "rows": [len(symbol)], "body": pa.array([_packed(symbol, count[first], n)], pa.binary()),
+        "often": pa.array([symbol[often].tolist()], pa.list_(pa.int64())), "seen": pa.array([n[often].tolist()], pa.list_(pa.int64())),
+    })
+
+
+def _routed(s: _Stream, dealt: Dealt) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of a block's different runs of a symbol and those before it, by part; bounds of the parts; the parts; which run stands at each token."""
+    places, which = s.grams(DEPTH, np.arange(len(s.symbol)))
+    part = dealt.route(*(b[places] for b in s.before))
+    order = np.argsort(part, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    parts, first = np.unique(part[order], return_index=True)
+    return places[order], np.append(first, len(order)), parts, rank[which]
+
+
+def _asked(block: pa.Table, words: pa.Table, dealt: Dealt) -> pa.Table:
+    """Of a block, for each part of the tree the runs that the part decides, with their training counts."""
+    s = _Stream(block, words)
+    places, bounds, parts, which = _routed(s, dealt)
+    n = np.bincount(which, weights=s.train, minlength=len(places)).astype(np.int64)
+    bodies = [_packed(*(c[places[a:b]] for c in (s.symbol, s.count, *s.before)), n[a:b]) for a, b in zip(bounds, bounds[1:])]
+    return pa.table({"part": parts, "block": pa.array([block["block"][0].as_py()] * len(parts), pa.int64()), "rows": np.diff(bounds), "body": pa.array(bodies, pa.binary())})
+
+
+def chances(symbol: np.ndarray, before: list[np.ndarray], p: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
+    """Chances of symbols, given the longest context in the tree before each.
+
+    before holds the symbols one, two, ... places back (_NONE: no such), p the
+    chances without context, counts for each depth what each row adds to the
+    training count of its context and symbol.
+
+    A context of at least LEAST tokens is in the tree if its next symbols
+    diverge from those after the context without its first symbol: the gain in
+    log likelihood must pay half a logarithm of its count for each different
+    next symbol (the Bayesian criterion). Its counts are smoothed with the
+    chances that the next shorter one in the tree gives, which weigh as much
+    as it has different next symbols.
     """
-    schema = "context long, pair long, shorter long, depth int, q double, n long"
-    found = coded.mapInArrow(lambda batches: _grams(batches, totals), schema)
-    found = found.groupBy("pair").agg(*(F.first(c).alias(c) for c in ("context", "shorter", "depth", "q")), F.sum("n").alias("n"))
-    by_context = Window.partitionBy("context")
-    found = found.withColumns({"total": F.sum("n").over(by_context), "kinds": F.count("*").over(by_context)}).filter(F.col("total") >= LEAST)
-    found = persisted(found, "suffix-pairs")
-    # A pair of a shorter context is at least as frequent, so it is in the table.
-    shares = found.filter(F.col("depth") < DEPTH).select(F.col("pair").alias("shorter"), (F.col("n") / F.col("total")).alias("share"))
-    gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.when(F.col("depth") == 1, F.col("q")).otherwise(F.col("share"))))
-    gains = found.join(shares, "shorter", "left").groupBy("context").agg(gain.alias("gain"), F.first("total").alias("t"), F.first("kinds").alias("k"))
-    kept = gains.filter(F.col("gain") >= 0.5 * F.col("k") * F.log("t")).select("context")
-    return persisted(found.join(kept, "context", "left_semi").select("context", "pair", "depth", "n", "total", "kinds"), "suffix-tree")
-
-
-_RESULT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-
-def _scored(block: pa.Table, branches: pa.Table, t: Totals) -> pa.Table:
-    """Scores of the texts of a block by the part of the tree that it meets."""
-    orders = []
-    pair, context, n, depths, total, kinds = (branches.column(c).to_numpy() for c in ("pair", "context", "n", "depth", "total", "kinds"))
-    pair, context = pair.view(_U), context.view(_U)
-    for depth in range(1, DEPTH + 1):
-        here = np.flatnonzero(depths == depth)
-        contexts, first = np.unique(context[here], return_index=True)
-        seen = here[n[here] > 0]
-        seen = seen[np.argsort(pair[seen])]
-        orders.append(Order(contexts, total[here[first]].astype(float), kinds[here[first]].astype(float), pair[seen], n[seen].astype(float)))
-    out = []
-    for i in range(block.num_rows):
-        numbers, at = _unpacked(block, i)
-        stream, bounds, symbols, count = _local(block, i)
-        plain = np.log10((count + 0.1) / t.norm)
-        # A word not told apart shares the chance of its symbol by the base counts.
-        within = np.where(symbols[_FIRST:] == _OTHER, np.log10((count + 0.1) / max(t.other, 0.1)), 0.0)
-        inner = stream != _START
-        chance = np.log10(SuffixTree(t.root(count), orders).chance(stream, bounds, np.flatnonzero(inner), symbols))
-        summed = lambda v, at=at: np.diff(np.concatenate([[0], np.cumsum(v)])[at])
-        sizes = np.diff(at)
-        ends = np.concatenate([[0], np.cumsum(sizes + 1)])
-        last = np.log10((t.texts + 0.1) / t.norm)
-        out.append(pa.table({
-            "doc_id": block.column("ids")[i].values, "held_out": block.column("held")[i].values, "n_tokens": sizes + 1, "n_known": summed((count > 0)[numbers].astype(np.int64)) + (t.texts > 0),
-            "train_tokens": np.full(len(sizes), t.tokens, np.int64), "base_score": summed(plain[numbers]) + last, "score": summed(chance, ends) + summed(within[numbers]),
-        }).cast(_RESULT))
-    return pa.concat_tables(out) if out else _RESULT.empty_table()
-
-
-def _coded(block: pa.Table, words: pa.Table) -> pa.Table:
-    """A block with the counts in all training texts, and the symbols, of its words by number."""
-    number = words.column("number").to_numpy()
-    count, symbol = np.zeros(len(number), np.int64), np.zeros(len(number), np.int64)
-    count[number], symbol[number] = words.column("c").to_numpy(), words.column("symbol").to_numpy()
-    one = lambda a: pa.array([a], pa.list_(pa.int64()))
-    return block.append_column("counts", one(count)).append_column("symbols", one(symbol))
+    names, said = np.unique(np.concatenate([symbol, *before]), return_inverse=True)
+    said, k = said.reshape(len(before) + 1, -1), len(names)
+    context, shorter = np.zeros(len(symbol), np.int64), p
+    for depth, weight in enumerate(counts):
+        _, context = np.unique(context * k + said[depth + 1], return_inverse=True)
+        _, first, pair = np.unique(context * k + said[0], return_index=True, return_inverse=True)
+        n = np.bincount(pair, weights=np.where(before[depth] != _NONE, weight, 0))
+        of = context[first]
+        total, kinds = np.bincount(of, weights=n), np.bincount(of, weights=n > 0)
+        seen = n > 0
+        gain = np.bincount(of[seen], weights=n[seen] * np.log(n[seen] / total[of[seen]] / shorter[first[seen]]), minlength=len(total))
+        kept = (total >= LEAST) & (gain >= 0.5 * kinds * np.log(np.maximum(total, 1)))
+        p = np.where(kept[context], (n[pair] + kinds[context] * p) / np.maximum(total + kinds, 1)[context], p)
+        shorter = n[pair] / np.maximum(total, 1)[context]
+    return p
+
+
+def _decided(asked: pa.Table, heads: pa.Table, dealt: Dealt, t: Totals) -> pa.Table:
+    """The part's chances (log10) of the runs that blocks ask for, back to the blocks."""
+    sizes = asked["rows"].to_numpy()
+    if not len(sizes):
+        return pa.table({"block": pa.array([], pa.int64()), "kind": pa.array([], pa.int64()), "rows": pa.array([], pa.int64()), "body": pa.array([], pa.binary())})
+    symbol, count, last, second, third, n = np.concatenate([_unpacked(b, r, 6) for b, r in zip(asked["body"].to_pylist(), sizes)], axis=1)
+    mine = len(symbol)
+    split = dealt.often(last)[1]
+    split_pair = split & dealt.often_pair(last, second)[1]
+    counts = [np.where(split, 0, n), np.where(split_pair, 0, n), n]
+    if heads.num_rows:
+        # What is dealt over several parts has its counts of all parts from the heads.
+        rows = heads["rows"].to_numpy()
+        more = np.concatenate([_unpacked(b, r, 3) for b, r in zip(heads["body"].to_pylist(), rows)], axis=1)
+        more_last, more_second = (np.repeat(heads[c].to_numpy(), rows) for c in ("last", "second"))
+        single, none = more_second == _NONE, np.zeros(more.shape[1], np.int64)
+        symbol, count = np.append(symbol, more[0]), np.append(count, more[1])
+        last, second, third = np.append(last, more_last), np.append(second, more_second), np.append(third, none + _NONE)
+        counts = [np.append(c, w) for c, w in zip(counts, (np.where(single, more[2], 0), np.where(single, 0, more[2]), none))]
+    p = np.log10(chances(symbol, [last, second, third], t.root(symbol, count), counts)[:mine]).astype(np.float32)
+    bodies = [_packed(v) for v in np.split(p, np.cumsum(sizes)[:-1])]
+    return pa.table({"block": asked["block"], "kind": asked["part"], "rows": sizes, "body": pa.array(bodies, pa.binary())})
+
+
+def _scored(block: pa.Table, found: pa.Table, dealt: Dealt, t: Totals) -> pa.Table:
+    """Scores of the texts of a block, of its words (kind -1) and the chances that the parts gave."""
+    s = _Stream(block, found.filter(pc.equal(found["kind"], -1)))
+    places, bounds, parts, which = _routed(s, dealt)
+    given = {k: (b, r) for k, b, r in zip(found["kind"].to_pylist(), found["body"].to_pylist(), found["rows"].to_pylist())}
+    p = np.concatenate([_unpacked(*given[k], kind=np.float32)[0] for k in parts.tolist()]).astype(float)[which]
+    end = np.log10((t.texts + 0.1) / t.norm)
+    plain = np.where(s.word, np.log10((s.count + 0.1) / t.norm), end)
+    # A word not told apart shares the chance of its symbol by the base counts.
+    p += np.where(s.word & (s.symbol == _OTHER), np.log10((s.count + 0.1) / max(t.other, 0.1)), 0.0)
+    known = np.where(s.word, s.count > 0, t.texts > 0).astype(np.int64)
+    summed = lambda v: np.add.reduceat(v, s.ends - s.sizes - 1)
+    return pa.table({
+        "doc_id": block["ids"][0].values, "held_out": block["held"][0].values, "n_tokens": s.sizes + 1, "n_known": summed(known),
+        "train_tokens": np.full(len(s.sizes), t.tokens, np.int64), "base_score": summed(plain), "score": summed(p),
+    })
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -302,47 +377,88 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def scored_texts(documents: DataFrame) -> DataFrame:
+_HEADS = "last long, second long, rows long, body binary, often array<long>, seen array<long>"
+
+
+def _dealt(blocks: DataFrame, words: DataFrame, t: Totals, texts: int, part_tokens: int) -> tuple[Dealt, DataFrame]:
+    """How the tree is cut, and for each part the counts of next symbols of the contexts that it shares with others (part, last, second, rows, body).
+
+    Contexts seen part_tokens times are at most one for so many tokens, so
+    they are known everywhere.
+    """
+    found = {w: n for often, seen in words.filter(F.size("often") > 0).select("often", "seen").collect() for w, n in zip(often, seen)}
+    found |= {w: n for w, n in ((_START, texts), (_OTHER, int(t.tokens - t.told))) if n > part_tokens}
+    hot = np.array(sorted(found), np.int64)
+    split = lambda counts: np.array([-(-n // part_tokens) for n in counts], np.int64)
+    none = np.zeros(0, np.int64)
+    dealt = Dealt(max(1, -(-t.tokens // part_tokens)), hot, split(found[w] for w in hot.tolist()), none.astype(_U), none)
+    each = lambda depth: _with_words(blocks, words, lambda a, b: _heads(a, b, dealt, depth), "last long, second long, share long, rows long, body binary")
+    total = lambda depth: persisted(each(depth).groupBy("last", "second", "share").applyInArrow(lambda rows: _summed(rows, part_tokens), _HEADS), f"suffix-heads-{depth}")
+    spark = blocks.sparkSession
+    if not found:
+        return dealt, spark.createDataFrame([], "part long, last long, second long, rows long, body binary")
+    heads = total(1)
+    pairs = {(w, last): n for last, often, seen in heads.filter(F.size("often") > 0).select("last", "often", "seen").collect() for w, n in zip(often, seen) if w in found}
+    if pairs:
+        key = _longer(np.array([a for a, _ in pairs], np.int64).astype(_U), np.array([b for _, b in pairs], np.int64))
+        order = np.argsort(key)
+        dealt = Dealt(dealt.parts, hot, dealt.salts, key[order], split(pairs.values())[order])
+        heads = heads.union(total(2))
+    listed = [(w, None) for w in found] + list(pairs)
+    known = list(pairs)
+    where = [(a, _NONE if b is None else b, dealt.parts_of(a, b, known)) for a, b in listed]
+    where = spark.createDataFrame(where, "last long, second long, parts array<long>")
+    return dealt, heads.join(F.broadcast(where), ["last", "second"]).select(F.explode("parts").alias("part"), "last", "second", "rows", "body")
+
+
+def _with_words(blocks: DataFrame, found: DataFrame, work, schema: str) -> DataFrame:
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(work, schema)
+
+
+def scored_texts(documents: DataFrame, part_tokens: int = PART_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of documents (doc_id, text).
 
     A text is its words (A-Z lower-cased) and one end; tokens are both. score
     is the log10 of the chance that a probabilistic suffix tree gives the
     text: the next symbol depends on the longest run of symbols before it that
-    the tree has as a context. Symbols are the start, the end, each word seen
-    LEAST times in the training texts, and one for all other words, which
-    share its chance by their counts (and 0.1; all new words count as one).
-    Without context the chances are those of base_score, the sum of
-    log10((c + 0.1) / (N + 0.1 (V + 1))).
+    the tree has as a context (see chances). Symbols are the start, the end,
+    each word seen LEAST times in the training texts, and one for all other
+    words, which share its chance by their counts (and 0.1; all new words
+    count as one). Without context the chances are those of base_score, the
+    sum of log10((c + 0.1) / (N + 0.1 (V + 1))). The logarithm of a token's
+    chance is held in 32 bits, so score is exact to about one part in 10**7.
 
     Documents are packed into blocks of some million words as numbers of the
-    block's words; word counts are summed over blocks, contexts are counted on
-    the blocks, and each block gets the counts of its own words back, and of
-    the tree the contexts it meets. No task or driver needs the whole
-    vocabulary or the whole tree.
+    block's words. The vocabulary is counted in shares, and each block gets
+    the symbols of its words back. A tree of suffixes branches by the last
+    word first, so it is cut there, one part
+    for part_tokens tokens: each block sends the different runs of
+    words in it to the parts that hold their contexts, a part counts and
+    tests its contexts and gives the chances of what was asked. What many
+    runs end in is dealt over several parts, with its own counts summed
+    before. No task or driver needs the whole vocabulary or the whole tree,
+    and all that moves is packed.
 
     A null text is an empty one: its only token is the end. Repeated rows
     count each. Other columns are left alone. No documents give no rows;
     without training texts every token has chance 1 in the base.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out().alias("held"))
-    schema = "block long, ids array<long>, held array<boolean>, sizes array<long>, numbers binary, words array<string>, counts array<long>"
-    blocks = persisted(docs.mapInArrow(_blocks, schema), "suffix-blocks")
-    texts = blocks.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0
-    listed = blocks.select("block", F.posexplode(F.arrays_zip("words", "counts"))).select(F.col("col.words").alias("word"), "block", F.col("pos").alias("number"), F.col("col.counts").alias("n"))
-    by_word = Window.partitionBy("word")
-    counted = listed.withColumns({"c": F.sum("n").over(by_word), "first": F.min("block").over(by_word) == F.col("block")})
-    counted = persisted(counted.select("word", "block", "number", "c", "first"), "suffix-words")
-    known = counted.filter("first and c > 0").select("word", "c")
-    often = F.col("c") >= LEAST
-    kinds, tokens, told = known.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum(F.when(often, F.col("c") + F.lit(0.1).cast("double"))), F.lit(0.0))).first()
-    totals = Totals(tokens + texts, kinds + (texts > 0), texts, float(told))
-    rows = counted.select("block", "number", "c", F.when(often, F.xxhash64("word")).otherwise(_OTHER).alias("symbol"))
-    packed = blocks.select("block", "ids", "held", "sizes", "numbers")
-    schema = "block long, ids array<long>, held array<boolean>, sizes array<long>, numbers binary, counts array<long>, symbols array<long>"
-    coded = persisted(packed.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(_coded, schema), "suffix-coded")
-    tree = grow(coded, totals)
-    contexts = tree.groupBy("context").agg(F.first("depth").alias("depth"), F.first("total").alias("total"), F.first("kinds").alias("kinds"))
-    met = coded.mapInArrow(_asked, "block long, context long, pair long").join(contexts, "context").join(tree.select("pair", "n"), "pair", "left")
-    met = met.select("block", "context", "pair", F.coalesce("n", F.lit(0)).alias("n"), "depth", "total", "kinds")
+    held_bytes, all_texts, texts = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*"), F.count_if(~F.col("held"))).first()
+    shares = max(1, -(-held_bytes // BUCKET_BYTES))
+    schema = "block long, ids array<long>, held array<boolean>, sizes array<long>, numbers binary, vocabulary array<struct<share long, rows long, size long, words binary, body binary>>"
+    packed = bucketed(docs.mapInArrow(lambda it: _blocks(it, shares), schema), "block", shares, "suffix-blocks")
+    blocks = packed.select("block", "ids", "held", "sizes", "numbers")
+    vocabulary = packed.select("block", F.explode("vocabulary").alias("v")).select("block", "v.*")
+    schema = "block long, kind long, rows long, body binary, tokens long, kinds long, told double, often array<long>, seen array<long>"
+    words = vocabulary.groupBy("share").applyInArrow(lambda share: _told(share, shares, part_tokens), schema)
+    words = bucketed(words.repartition(shares, "block"), "block", shares, "suffix-words")
+    tokens, kinds, told = words.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0)), F.coalesce(F.sum("told"), F.lit(0.0))).first()
+    totals = Totals(tokens + texts, kinds + (texts > 0), texts, told)
+    dealt, heads = _dealt(blocks, words, totals, all_texts, part_tokens)
+    mine = words.select("block", "kind", "rows", "body")
+    asked = _with_words(blocks, mine, lambda a, b: _asked(a, b, dealt), "part long, block long, rows long, body binary")
+    schema = "block long, kind long, rows long, body binary"
+    decided = asked.groupBy("part").cogroup(heads.groupBy("part")).applyInArrow(lambda a, b: _decided(a, b, dealt, totals), schema)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return coded.groupBy("block").cogroup(met.groupBy("block")).applyInArrow(lambda a, b: _scored(a, b, totals), schema)
+    return _with_words(blocks, mine.union(decided), lambda a, b: _scored(a, b, dealt, totals), schema)

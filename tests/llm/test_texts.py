@@ -181,25 +181,67 @@ def test_language_model_tells_rare_words_apart(spark):
     assert score.train_tokens > 60_000 and score.score > score.base_score + 10
 
 
-def test_chances_sum_to_one(spark, monkeypatch):
+def tree_by_force(rows, held):
+    """Scores by a plain suffix tree of dictionaries."""
+    texts = [(held(r[0]), cases.words(r[1], lower=True)) for r in rows]
+    counts = Counter(w for h, t in texts if not h for w in t)
+    ends = sum(not h for h, _ in texts)
+    norm = sum(counts.values()) + ends + 0.1 * (len(counts) + (ends > 0) + 1)
+    often = {w for w, c in counts.items() if c >= L.LEAST}
+    other = norm - sum(counts[w] + 0.1 for w in often) - (ends + 0.1)
+    # Symbols: words, 0 for those not told apart, None for the end.
+    root = lambda s: max((ends + 0.1 if s is None else other if s == 0 else counts[s] + 0.1) / norm, 1e-300)
+    named = [(h, ["^start", *(w if w in often else 0 for w in t), None]) for h, t in texts]
+    after = {}
+    for h, s in named:
+        for i in range(1, len(s)) if not h else ():
+            for depth in range(1, min(i, L.DEPTH) + 1):
+                after.setdefault(tuple(s[i - depth : i]), Counter())[s[i]] += 1
+    share = lambda c, s: after[c][s] / sum(after[c].values()) if c else root(s)
+    tree = {}
+    for c, n in after.items():
+        gain = sum(k * math.log(share(c, s) / share(c[1:], s)) for s, k in n.items())
+        if sum(n.values()) >= L.LEAST and gain >= 0.5 * len(n) * math.log(sum(n.values())):
+            tree[c] = n
+    out = []
+    for (_, words), (_, s) in zip(texts, named):
+        score = 0.0
+        for i in range(1, len(s)):
+            p = root(s[i])
+            for depth in range(1, min(i, L.DEPTH) + 1):
+                if n := tree.get(tuple(s[i - depth : i])):
+                    p = (n[s[i]] + len(n) * p) / (sum(n.values()) + len(n))
+            score += math.log10(p) + (math.log10((counts[words[i - 1]] + 0.1) / max(other, 0.1)) if s[i] == 0 else 0)
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("part_tokens", [1 << 40, 400, 25])
+def test_language_model_is_the_plain_suffix_tree(spark, part_tokens):
+    """At any number of parts, also where words and pairs of words are dealt over several."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    r = np.random.default_rng(6)
+    made = [" ".join(["of the", "a", "of the cat", "dog ran", "ran of", f"w{i % 11}"][j] for j in r.integers(0, 6, 40)) for i in range(60)]
+    rows = [*cases.rows(), *[(500 + i, t, *[None] * 12) for i, t in enumerate(made)]]
+    found = L.scored_texts(cases.documents(spark, rows), part_tokens).collect()
+    wanted = sorted((repr(row[0]), s) for row, s in zip(rows, tree_by_force(rows, held)))
+    got = sorted((repr(row.doc_id), row.score) for row in found)
+    assert [a[0] for a in got] == [a[0] for a in wanted]
+    assert all(abs(a[1] - b[1]) <= 1e-5 * max(1, abs(b[1])) for a, b in zip(got, wanted))
+
+
+def test_chances_sum_to_one():
     r = np.random.default_rng(1)
-    told = np.array([50.0, 30.0, 20.0])
-    totals = L.Totals(150, 20, 10, told)
-    root = totals.root()
-    assert abs(root.sum() - 1) < 1e-9
-    stream = r.integers(0, 6, 200)
-    stream[0] = L._START
-    orders = []
-    for depth in (1, 2):
-        at, h = L._contexts(stream, np.array([0]), depth)
-        pair, n = np.unique(L._longer(h, stream[at]), return_counts=True)
-        context, which = np.unique(h, return_inverse=True)
-        kinds = np.array([len(np.unique(stream[at][which == i])) for i in range(len(context))], float)
-        orders.append(L.Order(context, np.bincount(which).astype(float), kinds, pair, n.astype(float)))
-    tree = L.SuffixTree(root, orders)
-    for before in ([L._START], [L._START, 3], [L._START, 4, 5], [L._START, 0, 0]):
-        total = sum(float(tree.chance(np.array([*before, s]), np.array([0]), np.array([len(before)]))[0]) for s in range(len(root)))
-        assert abs(total - 1) < 1e-6
+    symbols = np.array([L._OTHER, L._END, 4, 5, 6])
+    learned = [np.where(r.random(400) < 0.3, 4, r.choice(symbols, 400)) for _ in range(4)]
+    totals = L.Totals(150, 20, 10, 100.3)
+    count = lambda s: np.select([s == 4, s == 5, s == 6], [50, 30, 20])
+    assert abs(totals.root(symbols, count(symbols)).sum() - 1) < 1e-9
+    for before in ([L._START, L._NONE, L._NONE], [4, L._START, L._NONE], [4, 4, 5], [L._OTHER] * 3):
+        columns = [np.append(a, b) for a, b in zip(learned, [symbols, *(np.full(5, b) for b in before)])]
+        weight = np.append(np.ones(400), np.zeros(5))
+        p = L.chances(columns[0], columns[1:], totals.root(columns[0], count(columns[0])), [weight] * 3)
+        assert abs(p[-5:].sum() - 1) < 1e-6
 
 
 def test_language_model_of_nothing(spark):
