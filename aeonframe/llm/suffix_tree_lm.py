@@ -16,9 +16,9 @@ from .words import Chunk, Hasher, chunks, mix
 
 _U = np.uint64
 #: Words in a block of documents that is scored in one place.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 1_000_000
 #: Tokens of the corpus for each part of the tree; contexts that end in a word seen more often are dealt over several parts.
-PART_TOKENS = 1_000_000
+PART_TOKENS = 500_000
 #: Bytes of text for each bucket of blocks, and for each part of the vocabulary.
 BUCKET_BYTES = 8 << 20
 #: A context has at most so many tokens.
@@ -41,6 +41,17 @@ def _unpacked(body: bytes, rows: int, columns: int = 1, kind: type = np.int64) -
     return np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(columns, width, rows).transpose(0, 2, 1)).view(kind)[..., 0]
 
 
+def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each different key, ascending by key, and which of them each key is."""
+    order = np.argsort(keys)
+    held = keys[order]
+    new = np.ones(len(held), bool)
+    new[1:] = held[1:] != held[:-1]
+    which = np.empty(len(held), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
 class _Block:
     """Documents as numbers of words, and the words."""
 
@@ -83,7 +94,7 @@ class _Block:
         for v in np.unique(share):
             mine = np.flatnonzero(share == v)
             # No word has a space in it.
-            said = b" ".join(w.as_py().encode() for w in words.take(pa.array(mine)))
+            said = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(mine)], pa.int32()), words.take(pa.array(mine)).cast(pa.string())), " ")[0].as_py().encode()
             parts.append({"share": int(v), "rows": len(mine), "size": len(said), "words": pa.compress(said, codec="zstd", asbytes=True), "body": _packed(mine, counts[mine])})
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
         block = int.from_bytes(os.urandom(8), "little", signed=True)
@@ -115,10 +126,11 @@ def _told(share: pa.Table, shares: int, part_tokens: int) -> pa.Table:
     The first row says what the share adds to the totals, and which words are
     seen most often. Frequent words get low symbols.
     """
-    said = [pa.decompress(w, decompressed_size=n, codec="zstd", asbytes=True).decode().split(" ") for w, n in zip(share["words"].to_pylist(), share["size"].to_pylist())]
+    said = [pa.decompress(w, decompressed_size=n, codec="zstd", asbytes=True) for w, n in zip(share["words"].to_pylist(), share["size"].to_pylist())]
     sizes = share["rows"].to_numpy()
     bodies = [_unpacked(b, n, 2) for b, n in zip(share["body"].to_pylist(), sizes)]
-    which = pc.dictionary_encode(pa.chunked_array([pa.array(s, pa.large_string()) for s in said]).combine_chunks()).indices.to_numpy()
+    each = pc.split_pattern(pa.array(said, pa.large_binary()).cast(pa.large_string()), " ").flatten()
+    which = pc.dictionary_encode(each).indices.to_numpy()
     count = np.bincount(which, weights=np.concatenate([b[1] for b in bodies])).astype(np.int64)
     rank = np.empty(len(count), np.int64)
     rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
@@ -211,59 +223,71 @@ class Dealt:
 
 
 class _Stream:
-    """A block in symbols: at each token but starts, the symbol, its count, and those before it."""
+    """A block in symbols: at each token but starts, the code of its symbol, and those before it.
+
+    names and counts are the symbols by their codes, and the counts of words.
+    """
 
     def __init__(self, block: pa.Table, words: pa.Table):
         self.sizes = block["sizes"][0].values.to_numpy()
         self.held = block["held"][0].values.to_numpy(zero_copy_only=False).astype(bool)
-        n = int(self.sizes.sum())
         bodies = [_unpacked(b, rows, 3) for b, rows in zip(words["body"].to_pylist(), words["rows"].to_pylist())]
         number, symbol, count = np.concatenate(bodies, axis=1) if bodies else np.zeros((3, 0), np.int64)
-        by_number = np.empty((2, len(number)), np.int64)
-        by_number[:, number] = symbol, count
-        numbers = _unpacked(block["numbers"][0].as_py(), n, kind=np.int32)[0]
+        symbol, self.count = symbol[np.argsort(number)], count[np.argsort(number)]
+        self.numbers = _unpacked(block["numbers"][0].as_py(), int(self.sizes.sum()), kind=np.int32)[0]
+        self.names = np.unique(np.append(symbol, [_OTHER, _START, _END, _NONE]))
+        code = np.searchsorted(self.names, symbol)
+        self.counts = np.zeros(len(self.names), np.int64)
+        self.counts[code] = self.count
+        self.other = symbol == _OTHER
         # Each text ends with an end.
         self.ends = np.cumsum(self.sizes + 1)
-        word = np.ones(len(numbers) + len(self.sizes), bool)
-        word[self.ends - 1] = False
-        self.word, self.symbol, self.count = word, np.full(len(word), _END), np.zeros(len(word), np.int64)
-        self.symbol[word], self.count[word] = by_number[:, numbers]
-        place = np.arange(len(word)) - np.repeat(self.ends - self.sizes - 1, self.sizes + 1)
+        self.word = np.ones(len(self.numbers) + len(self.sizes), bool)
+        self.word[self.ends - 1] = False
+        start, end, none = np.searchsorted(self.names, [_START, _END, _NONE])
+        self.code = np.full(len(self.word), end, np.int32)
+        self.code[self.word] = code.astype(np.int32)[self.numbers]
+        first = self.ends - self.sizes - 1
         self.before = []
         for back in range(1, DEPTH + 1):
-            said = np.full(len(word), _NONE)
-            said[back:] = self.symbol[:-back]
-            self.before.append(np.where(place >= back, said, np.where(place == back - 1, _START, _NONE)))
+            said = np.empty_like(self.code)
+            said[back:] = self.code[:-back]
+            for place in range(back):
+                at = first[self.sizes >= place] + place
+                said[at] = start if place == back - 1 else none
+            self.before.append(said)
         self.train = np.repeat(~self.held, self.sizes + 1)
 
+    def symbols(self, codes: np.ndarray) -> np.ndarray:
+        return self.names[codes]
+
     def grams(self, depth: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of different symbols with so many before them, ascending, and which of these each of the places at is."""
-        names = np.unique(np.concatenate([self.symbol[at], *(b[at] for b in self.before)]))
-        k = len(names) + 1
-        which = np.searchsorted(names, self.symbol[at])
+        which = self.code[at].astype(np.int64)
+        first = np.zeros(0, np.int64)
         for b in self.before[:depth]:
-            _, first, which = np.unique(which * k + np.searchsorted(names, b[at]), return_index=True, return_inverse=True)
-        return at[first] if len(at) else at, which
+            first, which = _ranks(which * len(self.names) + b[at])
+        return at[first], which
 
 
 def _heads(block: pa.Table, words: pa.Table, dealt: Dealt, depth: int) -> pa.Table:
     """Of contexts dealt over several parts, the block's training counts of next symbols."""
     s = _Stream(block, words)
-    last, second = s.before[0], s.before[1]
-    salt, hit = dealt.often(last)
-    salts = dealt.salts[salt] if len(dealt.salts) else salt
+    hit = dealt.often(s.names)[1][s.before[0]] & s.train
     if depth == 2:
-        at, pair = dealt.often_pair(last, second)
-        hit, salts = hit & pair, dealt.pair_salts[at] if len(dealt.pairs) else at
-    places, which = s.grams(depth, np.flatnonzero(hit & s.train))
+        maybe = np.flatnonzero(hit)
+        hit[maybe] = dealt.often_pair(*(s.symbols(b[maybe]) for b in s.before[:2]))[1]
+    places, which = s.grams(depth, np.flatnonzero(hit))
     n = np.bincount(which, minlength=len(places))
-    share = mix(s.symbol[places].astype(_U)) % np.maximum(salts[places], 1).astype(_U)
-    key = (last[places], np.where(depth == 2, second[places], _NONE), share.astype(np.int64))
+    symbol, last, second = (s.symbols(c[places]) for c in (s.code, *s.before[:2]))
+    salts = dealt.salts[dealt.often(last)[0]] if depth == 1 else dealt.pair_salts[dealt.often_pair(last, second)[0]]
+    share = mix(symbol.astype(_U)) % salts.astype(_U)
+    key = (last, second if depth == 2 else np.full(len(last), _NONE), share.astype(np.int64))
     order = np.lexsort(key[::-1])
-    key, places, n = [k[order] for k in key], places[order], n[order]
+    key, symbol, count, n = [k[order] for k in key], symbol[order], s.counts[s.code[places[order]]], n[order]
     new = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in key], axis=0))) if len(places) else np.zeros(0, np.int64)
     bounds = np.append(new, len(places))
-    bodies = [_packed(s.symbol[places[a:b]], s.count[places[a:b]], n[a:b]) for a, b in zip(bounds, bounds[1:])]
+    bodies = [_packed(symbol[a:b], count[a:b], n[a:b]) for a, b in zip(bounds, bounds[1:])]
     return pa.table({"last": key[0][new], "second": key[1][new], "share": key[2][new], "rows": np.diff(bounds), "body": pa.array(bodies, pa.binary())})
 
 
@@ -281,8 +305,8 @@ def _summed(rows: pa.Table, part_tokens: int) -> pa.Table:
 
 def _routed(s: _Stream, dealt: Dealt) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places of a block's different runs of a symbol and those before it, by part; bounds of the parts; the parts; which run stands at each token."""
-    places, which = s.grams(DEPTH, np.arange(len(s.symbol)))
-    part = dealt.route(*(b[places] for b in s.before))
+    places, which = s.grams(DEPTH, np.arange(len(s.code)))
+    part = dealt.route(*(s.symbols(b[places]) for b in s.before))
     order = np.argsort(part, kind="stable")
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))
@@ -295,7 +319,8 @@ def _asked(block: pa.Table, words: pa.Table, dealt: Dealt) -> pa.Table:
     s = _Stream(block, words)
     places, bounds, parts, which = _routed(s, dealt)
     n = np.bincount(which, weights=s.train, minlength=len(places)).astype(np.int64)
-    bodies = [_packed(*(c[places[a:b]] for c in (s.symbol, s.count, *s.before)), n[a:b]) for a, b in zip(bounds, bounds[1:])]
+    of = [c[places] for c in (s.code, *s.before)]
+    bodies = [_packed(s.names[of[0][a:b]], s.counts[of[0][a:b]], *(s.names[c[a:b]] for c in of[1:]), n[a:b]) for a, b in zip(bounds, bounds[1:])]
     return pa.table({"part": parts, "block": pa.array([block["block"][0].as_py()] * len(parts), pa.int64()), "rows": np.diff(bounds), "body": pa.array(bodies, pa.binary())})
 
 
@@ -313,12 +338,11 @@ def chances(symbol: np.ndarray, before: list[np.ndarray], p: np.ndarray, counts:
     chances that the next shorter one in the tree gives, which weigh as much
     as it has different next symbols.
     """
-    names, said = np.unique(np.concatenate([symbol, *before]), return_inverse=True)
-    said, k = said.reshape(len(before) + 1, -1), len(names)
+    many = 1 + max(int(c.max(initial=0)) for c in (symbol, *before))
     context, shorter = np.zeros(len(symbol), np.int64), p
     for depth, weight in enumerate(counts):
-        _, context = np.unique(context * k + said[depth + 1], return_inverse=True)
-        _, first, pair = np.unique(context * k + said[0], return_index=True, return_inverse=True)
+        _, context = _ranks(context * many + before[depth])
+        first, pair = _ranks(context * many + symbol)
         n = np.bincount(pair, weights=np.where(before[depth] != _NONE, weight, 0))
         of = context[first]
         total, kinds = np.bincount(of, weights=n), np.bincount(of, weights=n > 0)
@@ -354,6 +378,13 @@ def _decided(asked: pa.Table, heads: pa.Table, dealt: Dealt, t: Totals) -> pa.Ta
     return pa.table({"block": asked["block"], "kind": asked["part"], "rows": sizes, "body": pa.array(bodies, pa.binary())})
 
 
+def _spread(s: _Stream, of_word: np.ndarray, of_end: float) -> np.ndarray:
+    """A value for each token, given those of the block's words by number and that of ends."""
+    out = np.full(len(s.word), of_end, of_word.dtype)
+    out[s.word] = of_word[s.numbers]
+    return out
+
+
 def _scored(block: pa.Table, found: pa.Table, dealt: Dealt, t: Totals) -> pa.Table:
     """Scores of the texts of a block, of its words (kind -1) and the chances that the parts gave."""
     s = _Stream(block, found.filter(pc.equal(found["kind"], -1)))
@@ -361,10 +392,10 @@ def _scored(block: pa.Table, found: pa.Table, dealt: Dealt, t: Totals) -> pa.Tab
     given = {k: (b, r) for k, b, r in zip(found["kind"].to_pylist(), found["body"].to_pylist(), found["rows"].to_pylist())}
     p = np.concatenate([_unpacked(*given[k], kind=np.float32)[0] for k in parts.tolist()]).astype(float)[which]
     end = np.log10((t.texts + 0.1) / t.norm)
-    plain = np.where(s.word, np.log10((s.count + 0.1) / t.norm), end)
+    plain = _spread(s, np.log10((s.count + 0.1) / t.norm), end)
     # A word not told apart shares the chance of its symbol by the base counts.
-    p += np.where(s.word & (s.symbol == _OTHER), np.log10((s.count + 0.1) / max(t.other, 0.1)), 0.0)
-    known = np.where(s.word, s.count > 0, t.texts > 0).astype(np.int64)
+    p += _spread(s, np.where(s.other, np.log10((s.count + 0.1) / max(t.other, 0.1)), 0.0), 0.0)
+    known = _spread(s, (s.count > 0).astype(np.int64), int(t.texts > 0))
     summed = lambda v: np.add.reduceat(v, s.ends - s.sizes - 1)
     return pa.table({
         "doc_id": block["ids"][0].values, "held_out": block["held"][0].values, "n_tokens": s.sizes + 1, "n_known": summed(known),
