@@ -41,6 +41,11 @@ def _unpacked(body: bytes, rows: int, columns: int = 1, kind: type = np.int64) -
     return np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(columns, width, rows).transpose(0, 2, 1)).view(kind)[..., 0]
 
 
+def _steps(column: np.ndarray) -> np.ndarray:
+    """What each value adds to the one before it: small in a sorted column. np.cumsum undoes it."""
+    return np.diff(column, prepend=0)
+
+
 def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A place of each different key, ascending by key, and which of them each key is."""
     order = np.argsort(keys)
@@ -95,7 +100,7 @@ class _Block:
             mine = np.flatnonzero(share == v)
             # No word has a space in it.
             said = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(mine)], pa.int32()), words.take(pa.array(mine)).cast(pa.string())), " ")[0].as_py().encode()
-            parts.append({"share": int(v), "rows": len(mine), "size": len(said), "words": pa.compress(said, codec="zstd", asbytes=True), "body": _packed(mine, counts[mine])})
+            parts.append({"share": int(v), "rows": len(mine), "size": len(said), "words": pa.compress(said, codec="zstd", asbytes=True), "body": _packed(_steps(mine), counts[mine])})
         one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
         block = int.from_bytes(os.urandom(8), "little", signed=True)
         return pa.record_batch({
@@ -120,6 +125,12 @@ def _blocks(batches: Iterator[pa.RecordBatch], shares: int) -> Iterator[pa.Recor
         yield block.row()
 
 
+def _symbols(number: np.ndarray, symbol: np.ndarray, count: np.ndarray) -> bytes:
+    # In a share frequent words have low symbols, so counts sink with symbols.
+    order = np.lexsort((number, symbol))
+    return _packed(number[order], _steps(symbol[order]), _steps(count[order]))
+
+
 def _told(share: pa.Table, shares: int, part_tokens: int) -> pa.Table:
     """Of one share of the vocabulary, back to each block: numbers, symbols and counts in all training texts of its words.
 
@@ -135,8 +146,7 @@ def _told(share: pa.Table, shares: int, part_tokens: int) -> pa.Table:
     rank = np.empty(len(count), np.int64)
     rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
     symbol = np.where(count >= LEAST, _FIRST + rank * shares + share["share"][0].as_py(), _OTHER)
-    ends = np.cumsum(sizes)
-    bodies = [_packed(b[0], symbol[w], count[w]) for b, w in zip(bodies, np.split(which, ends[:-1]))]
+    bodies = [_symbols(np.cumsum(b[0]), symbol[w], count[w]) for b, w in zip(bodies, np.split(which, np.cumsum(sizes)[:-1]))]
     first = np.arange(len(sizes)) == 0
     often = np.flatnonzero(count > part_tokens)
     out = {"block": share["block"], "kind": np.full(len(sizes), -1), "rows": sizes, "body": pa.array(bodies, pa.binary()), "tokens": count.sum() * first, "kinds": (count > 0).sum() * first}
@@ -232,8 +242,10 @@ class _Stream:
         self.sizes = block["sizes"][0].values.to_numpy()
         self.held = block["held"][0].values.to_numpy(zero_copy_only=False).astype(bool)
         bodies = [_unpacked(b, rows, 3) for b, rows in zip(words["body"].to_pylist(), words["rows"].to_pylist())]
+        bodies = [np.concatenate([b[:1], np.cumsum(b[1:], axis=1)]) for b in bodies]
         number, symbol, count = np.concatenate(bodies, axis=1) if bodies else np.zeros((3, 0), np.int64)
-        symbol, self.count = symbol[np.argsort(number)], count[np.argsort(number)]
+        order = np.argsort(number)
+        symbol, self.count = symbol[order], count[order]
         self.numbers = _unpacked(block["numbers"][0].as_py(), int(self.sizes.sum()), kind=np.int32)[0]
         self.names = np.unique(np.append(symbol, [_OTHER, _START, _END, _NONE]))
         code = np.searchsorted(self.names, symbol)
@@ -319,9 +331,29 @@ def _asked(block: pa.Table, words: pa.Table, dealt: Dealt) -> pa.Table:
     s = _Stream(block, words)
     places, bounds, parts, which = _routed(s, dealt)
     n = np.bincount(which, weights=s.train, minlength=len(places)).astype(np.int64)
-    of = [c[places] for c in (s.code, *s.before)]
-    bodies = [_packed(s.names[of[0][a:b]], s.counts[of[0][a:b]], *(s.names[c[a:b]] for c in of[1:]), n[a:b]) for a, b in zip(bounds, bounds[1:])]
-    return pa.table({"part": parts, "block": pa.array([block["block"][0].as_py()] * len(parts), pa.int64()), "rows": np.diff(bounds), "body": pa.array(bodies, pa.binary())})
+    code, last, *others = (c[places] for c in (s.code, *s.before))
+    out = []
+    for part, a, b in zip(parts.tolist(), bounds, bounds[1:]):
+        # Sorted by symbol, whose count stands once; few words are the last before one, so these are numbered, frequent ones first.
+        new = a + np.flatnonzero(np.diff(code[a:b], prepend=-1))
+        held, at, often = np.unique(last[a:b], return_inverse=True, return_counts=True)
+        order = np.argsort(-often, kind="stable")
+        number = np.empty(len(held), np.int64)
+        number[order] = np.arange(len(held))
+        body = _packed(_steps(s.names[code[a:b]]), number[at], *(s.names[c[a:b]] for c in others), n[a:b])
+        out.append({"part": part, "block": block["block"][0].as_py(), "rows": b - a, "body": body, "kinds": len(new), "counts": _packed(s.counts[code[new]]), "lasts": len(held), "last": _packed(s.names[held[order]])})
+    return pa.Table.from_pylist(out, _ASKED)
+
+
+_ASKED = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("rows", pa.int64()), ("body", pa.binary()), ("kinds", pa.int64()), ("counts", pa.binary()), ("lasts", pa.int64()), ("last", pa.binary())])
+
+
+def _runs(asked: dict) -> np.ndarray:
+    """Of a row of _asked: symbols, their counts, the symbols one, two and three before, training counts."""
+    symbol, last, second, third, n = _unpacked(asked["body"], asked["rows"], 5)
+    symbol = np.cumsum(symbol)
+    kind = np.cumsum(np.diff(symbol, prepend=-1) != 0) - 1
+    return np.stack([symbol, _unpacked(asked["counts"], asked["kinds"])[0][kind], _unpacked(asked["last"], asked["lasts"])[0][last], second, third, n])
 
 
 def chances(symbol: np.ndarray, before: list[np.ndarray], p: np.ndarray, counts: list[np.ndarray]) -> np.ndarray:
@@ -359,7 +391,7 @@ def _decided(asked: pa.Table, heads: pa.Table, dealt: Dealt, t: Totals) -> pa.Ta
     sizes = asked["rows"].to_numpy()
     if not len(sizes):
         return pa.table({"block": pa.array([], pa.int64()), "kind": pa.array([], pa.int64()), "rows": pa.array([], pa.int64()), "body": pa.array([], pa.binary())})
-    symbol, count, last, second, third, n = np.concatenate([_unpacked(b, r, 6) for b, r in zip(asked["body"].to_pylist(), sizes)], axis=1)
+    symbol, count, last, second, third, n = np.concatenate([_runs(row) for row in asked.to_pylist()], axis=1)
     mine = len(symbol)
     split = dealt.often(last)[1]
     split_pair = split & dealt.often_pair(last, second)[1]
@@ -488,7 +520,7 @@ def scored_texts(documents: DataFrame, part_tokens: int = PART_TOKENS) -> DataFr
     totals = Totals(tokens + texts, kinds + (texts > 0), texts, told)
     dealt, heads = _dealt(blocks, words, totals, all_texts, part_tokens)
     mine = words.select("block", "kind", "rows", "body")
-    asked = _with_words(blocks, mine, lambda a, b: _asked(a, b, dealt), "part long, block long, rows long, body binary")
+    asked = _with_words(blocks, mine, lambda a, b: _asked(a, b, dealt), "part long, block long, rows long, body binary, kinds long, counts binary, lasts long, last binary")
     schema = "block long, kind long, rows long, body binary"
     decided = asked.groupBy("part").cogroup(heads.groupBy("part")).applyInArrow(lambda a, b: _decided(a, b, dealt, totals), schema)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
