@@ -31,6 +31,54 @@ def within_radius(left: DataFrame, right: DataFrame, km: float, size: float = CE
     return pairs.withColumn("km", S.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).filter(F.col("km") <= km)
 
 
+def _on_sphere(lat: str, lon: str) -> list[Column]:
+    y, x = F.radians(lat), F.radians(lon)
+    return [(S.EARTH_KM * c).alias(n) for c, n in ((F.cos(y) * F.cos(x), "x"), (F.cos(y) * F.sin(x), "y"), (F.sin(y), "z"))]
+
+
+def closest(points: DataFrame, targets: DataFrame, km: float, rank: Column | None = None) -> DataFrame:
+    """(lat, lon, best): for each different place of points (lat, lon) with targets (lat2, lon2) within km, the least `rank` of these.
+
+    rank is the distance km if not given, and else orders by it first, rounded
+    to six places at most. Targets should be of different places, and the
+    smaller side. Places meet in cubes around the globe: as a chord is no
+    longer than its arc, a hit within a cube's width in the cubes around is
+    proven nearest. Places without one go on with cubes twice as wide, at last
+    as wide as km, so pairs grow with the places and not with their product.
+    """
+    rank = F.col("km") if rank is None else rank
+    real = ~F.isnan(F.col("x") + F.col("y") + F.col("z"))  # null coordinates make it null
+    todo = points.select("lat", "lon").distinct().select("lat", "lon", *_on_sphere("lat", "lon")).filter(real).persist()
+    there = targets.select("*", *_on_sphere("lat2", "lon2")).filter(real).persist()
+    box = there.agg(F.count("*"), *(F.max(c) - F.min(c) for c in "xyz")).first()
+    reach = km + 1e-3
+    width = min(reach, max(2 * max(box[1:]) / box[0] ** 0.5, reach / 1024)) if box[0] else reach
+    found = None
+    while True:
+        last = width >= reach
+        cubes = [cell(F.col(c), width).alias("c" + c) for c in "xyz"]
+        around = there.select(*targets.columns, *cubes)
+        for c in ("cx", "cy", "cz"):
+            around = around.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
+        pairs = todo.select("lat", "lon", *cubes).join(around, ["cx", "cy", "cz"])
+        pairs = pairs.withColumn("km", S.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).filter(F.col("km") <= km)
+        hits = pairs.groupBy("lat", "lon").agg(F.min("km").alias("_km"), F.min(rank).alias("best"))
+        # The margin holds what rank rounds off.
+        hits = (hits if last else hits.filter(F.col("_km") <= width - 1e-5)).select("lat", "lon", "best").persist()
+        found = hits if found is None else found.unionByName(hits)
+        if last:
+            return found
+        todo = todo.join(hits, ["lat", "lon"], "left_anti").persist()
+        if todo.isEmpty():
+            return found
+        width *= 2
+
+
+def near(points: DataFrame, targets: DataFrame, km: float) -> DataFrame:
+    """Points (lat, lon) with any target (lat2, lon2) within km."""
+    return points.join(closest(points, targets.select("lat2", "lon2").distinct(), km), ["lat", "lon"], "left_semi").select(points.columns)
+
+
 def nearest(points: DataFrame, targets: DataFrame, key: str, km: float, size: float = CELL_DEGREES) -> DataFrame:
     """(key, km): the least distance from each point to a target within km; points without one are left out."""
     return within_radius(points, targets, km, size).groupBy(key).agg(F.min("km").alias("km"))

@@ -153,7 +153,7 @@ d AS (SELECT place_id, 2 * 6371 * asin(least(1, sqrt(power(sin((radians(lat2) -
 def near_any(spark, folder):
     p = places(spark, folder).select("place_id", "lat", "lon")
     t = p.filter("place_id % 25 = 0").select(F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    return spatial.within_radius(p, t, 55).select("place_id").distinct()
+    return spatial.near(p, t, 55).select("place_id").distinct()
 
 
 @query("JON_03_interval_join", f"WITH {DATED}, b AS (SELECT unnest(generate_series(-32, 11)) AS ord) SELECT b.ord::BIGINT AS ord, count(pk) AS n FROM b LEFT JOIN dated ON b.ord BETWEEN ord_start AND ord_end GROUP BY 1")

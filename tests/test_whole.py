@@ -1,6 +1,7 @@
 """Queries that take in all rows, against plain Python on the smallest tables."""
 
 import os
+import threading
 
 import numpy as np
 import pytest
@@ -68,3 +69,45 @@ def test_nearest_of_all_other_places(spark):
     found = {r.k: r.km for r in spatial.nearest_other(spark.createDataFrame(rows, "k int, x double, y double"), "k").collect()}
     assert set(found) == set(wanted) and all(abs(found[k] - wanted[k]) < 1e-9 for k in wanted)
     assert spatial.nearest_other(spark.createDataFrame(rows[:1], "k int, x double, y double"), "k").count() == 0
+
+
+@pytest.fixture
+def limited(spark):
+    """Jobs that run on after two minutes are cancelled, which is an error."""
+    timer = threading.Timer(120, spark.sparkContext.cancelAllJobs)
+    timer.start()
+    yield
+    timer.cancel()
+
+
+def one_spot(spark, tmp_path, *tables):
+    """Tables of 300,000 rows at one place on the map, so 90 billion pairs."""
+    for name, key in tables:
+        spark.range(300_000).select((F.col("id") * 11_000).alias(key), *(F.lit(None).cast(t).alias(c) for c, t in (("c_name", "string"), ("c_nationkey", "int"), ("c_acctbal", "double")))).write.parquet(f"{tmp_path}/{name}.parquet")
+
+
+def scattered(spark):
+    """Points and targets: dense and far spots, copies, poles, both sides of the date line, places without coordinates."""
+    r = np.random.default_rng(5)
+    spots = np.concatenate([r.uniform((36, 7), (47, 18), (80, 2)), r.normal((42, 12), 0.05, (80, 2)), r.uniform((-90, -180), (90, 180), (40, 2)), [(89.9, 10), (89.9, -170), (0, 179.9), (0, -179.9), (-90, 0), (36.0, 7.0), (36.0, 7.0)]])
+    a = [(i, float(y), float(x)) for i, (y, x) in enumerate(spots)]
+    b = [(i, float(y), float(x)) for i, (y, x) in enumerate([*r.uniform((36, 7), (47, 18), (60, 2)), *r.normal((42, 12), 0.05, (60, 2)), (89.9, 100), (0, 180), (-89.9, 60), (36.0, 7.0), (36.0, 7.0), (36.3, 7.0)])]
+    nulls = [(900, None, 1.0), (901, float("nan"), 1.0)]
+    km = {}
+    for i, *p in a:
+        for j, *q in b:
+            (y, x), (v, u) = np.radians(p), np.radians(q)
+            km[i, j] = float(2 * 6371 * np.arcsin(min(1, np.sqrt(np.sin((v - y) / 2) ** 2 + np.cos(y) * np.cos(v) * np.sin((u - x) / 2) ** 2))))
+    return spark.createDataFrame(a + nulls, "k int, lat double, lon double"), spark.createDataFrame(b + nulls, "target int, lat2 double, lon2 double"), km
+
+
+@pytest.mark.parametrize("km", [0.5, 60, 900])
+def test_near_is_brute_force(spark, limited, km):
+    points, targets, all_km = scattered(spark)
+    assert sorted(r.k for r in spatial.near(points, targets, km).collect()) == sorted({i for (i, _), d in all_km.items() if d <= km})
+    assert spatial.near(points, targets.filter("target > 950"), km).count() == 0
+
+
+def test_near_any_of_many_at_one_place(spark, limited, tmp_path):
+    one_spot(spark, tmp_path, ("customer", "c_custkey"))
+    assert QUERIES["FLT_12_near_any"](spark, str(tmp_path)).count() == 300_000
