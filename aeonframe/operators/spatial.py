@@ -79,9 +79,10 @@ def near(points: DataFrame, targets: DataFrame, km: float) -> DataFrame:
     return points.join(closest(points, targets.select("lat2", "lon2").distinct(), km), ["lat", "lon"], "left_semi").select(points.columns)
 
 
-def nearest(points: DataFrame, targets: DataFrame, key: str, km: float, size: float = CELL_DEGREES) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, key: str, km: float) -> DataFrame:
     """(key, km): the least distance from each point to a target within km; points without one are left out."""
-    return within_radius(points, targets, km, size).groupBy(key).agg(F.min("km").alias("km"))
+    found = closest(points, targets.select("lat2", "lon2").distinct(), km)
+    return points.join(found, ["lat", "lon"]).groupBy(key).agg(F.min("best").alias("km"))
 
 
 def nearest_of_few(points: DataFrame, targets: DataFrame, key: str, most: int = 10_000, self_key: str | None = None) -> DataFrame:

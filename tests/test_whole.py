@@ -111,3 +111,20 @@ def test_near_is_brute_force(spark, limited, km):
 def test_near_any_of_many_at_one_place(spark, limited, tmp_path):
     one_spot(spark, tmp_path, ("customer", "c_custkey"))
     assert QUERIES["FLT_12_near_any"](spark, str(tmp_path)).count() == 300_000
+
+
+@pytest.mark.parametrize("km", [0.5, 60, 900])
+def test_nearest_is_brute_force(spark, limited, km):
+    points, targets, all_km = scattered(spark)
+    wanted = {}
+    for (i, _), d in all_km.items():
+        if d <= km:
+            wanted[i] = min(d, wanted.get(i, d))
+    found = {r.k: r.km for r in spatial.nearest(points, targets, "k", km).collect()}
+    assert set(found) == set(wanted) and all(abs(found[k] - wanted[k]) < 1e-6 for k in wanted)
+
+
+def test_nearest_distance_of_many_at_one_place(spark, limited, tmp_path):
+    one_spot(spark, tmp_path, ("customer", "c_custkey"), ("supplier", "s_suppkey"))
+    found = QUERIES["JON_09_nearest_distance"](spark, str(tmp_path))
+    assert found.agg(F.count("*"), F.min("km"), F.max("km")).first() == (300_000, 0, 0)
