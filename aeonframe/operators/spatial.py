@@ -85,6 +85,14 @@ def nearest(points: DataFrame, targets: DataFrame, key: str, km: float) -> DataF
     return points.join(found, ["lat", "lon"]).groupBy(key).agg(F.min("best").alias("km"))
 
 
+def best_within(points: DataFrame, targets: DataFrame, key: str, km: float) -> DataFrame:
+    """(key, target, km): the nearest target (target, lat2, lon2) within km, by km to six places, the least of equally near ones."""
+    least = targets.groupBy("lat2", "lon2").agg(F.min("target").alias("target"))
+    found = closest(points, least, km, F.struct(F.round("km", 6).alias("km"), "target"))
+    best = points.join(found, ["lat", "lon"]).groupBy(key).agg(F.min("best").alias("best"))
+    return best.select(key, F.col("best.target").alias("target"), F.col("best.km").alias("km"))
+
+
 def nearest_of_few(points: DataFrame, targets: DataFrame, key: str, most: int = 10_000, self_key: str | None = None) -> DataFrame:
     """(key, km): the least plane distance to any target (x2, y2); with self_key, to another one.
 

@@ -283,9 +283,7 @@ def _targets(spark, folder):
 
 @query("JON_08_best_within_radius", _NEAR + "SELECT place_id, arg_min(target, (round(km, 6), target)) AS target, round(min(km), 6) AS km FROM d WHERE km <= 30 GROUP BY place_id")
 def best_within_radius(spark, folder):
-    pairs = spatial.within_radius(places(spark, folder).select("place_id", "lat", "lon"), _targets(spark, folder), 30)
-    best = pairs.groupBy("place_id").agg(F.min(F.struct(F.round("km", 6).alias("km"), "target")).alias("b"))
-    return best.select("place_id", F.col("b.target").alias("target"), F.col("b.km").alias("km"))
+    return spatial.best_within(places(spark, folder).select("place_id", "lat", "lon"), _targets(spark, folder), "place_id", 30)
 
 
 @query("JON_09_nearest_distance", _NEAR + "SELECT place_id, round(min(km), 6) AS km FROM d WHERE km <= 60 GROUP BY place_id")

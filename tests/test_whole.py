@@ -128,3 +128,28 @@ def test_nearest_distance_of_many_at_one_place(spark, limited, tmp_path):
     one_spot(spark, tmp_path, ("customer", "c_custkey"), ("supplier", "s_suppkey"))
     found = QUERIES["JON_09_nearest_distance"](spark, str(tmp_path))
     assert found.agg(F.count("*"), F.min("km"), F.max("km")).first() == (300_000, 0, 0)
+
+
+@pytest.mark.parametrize("km", [0.5, 60, 900])
+def test_best_within_is_brute_force(spark, limited, km):
+    points, targets, all_km = scattered(spark)
+    wanted = {}
+    for (i, j), d in all_km.items():
+        if d <= km:
+            wanted[i] = min((round(d, 6), j), wanted.get(i, (d + 1, j)))
+    found = {r.k: (r.km, r.target) for r in spatial.best_within(points, targets, "k", km).collect()}
+    assert set(found) == set(wanted) and all(abs(found[k][0] - wanted[k][0]) < 2e-6 and found[k][1] == wanted[k][1] for k in wanted)
+
+
+def test_equally_near_targets_are_the_least(spark):
+    points = spark.createDataFrame([(1, 42.0, 12.0), (2, 42.0, 12.0)], "k int, lat double, lon double")
+    around = [(9, 42.1, 12.0), (8, 42.1 + 1e-9, 12.0), (5, 42.1, 12.0), (7, 42.1 + 1e-5, 12.0), (4, 43.0, 12.0), (3, 42.2, 12.0)]
+    targets = spark.createDataFrame(around, "target int, lat2 double, lon2 double")
+    assert sorted(tuple(r) for r in spatial.best_within(points, targets, "k", 30).collect()) == [(1, 5, 11.119493), (2, 5, 11.119493)]
+    assert spatial.best_within(points, targets.filter("target <> 5"), "k", 30).first().target == 8
+
+
+def test_best_within_radius_of_many_at_one_place(spark, limited, tmp_path):
+    one_spot(spark, tmp_path, ("customer", "c_custkey"), ("supplier", "s_suppkey"))
+    found = QUERIES["JON_08_best_within_radius"](spark, str(tmp_path))
+    assert found.agg(F.count("*"), F.max("target"), F.max("km")).first() == (300_000, 0, 0)
