@@ -9,6 +9,8 @@ from aeonframe.operators.quantiles import values_at
 
 #: Cells of a degree's share, for joins within a radius.
 CELL_DEGREES = 0.25
+#: Targets of a cube at most, where closest() starts.
+CROWD = 64
 
 
 def cell(c: Column, size: float = CELL_DEGREES) -> Column:
@@ -44,7 +46,8 @@ def closest(points: DataFrame, targets: DataFrame, km: float, rank: Column | Non
     smaller side. Places meet in cubes around the globe: as a chord is no
     longer than its arc, a hit within a cube's width in the cubes around is
     proven nearest. Places without one go on with cubes twice as wide, at last
-    as wide as km, so pairs grow with the places and not with their product.
+    as wide as km, so pairs grow with the places and not with their product,
+    unless most points have all their targets in a dense spot some way off.
     """
     rank = F.col("km") if rank is None else rank
     real = ~F.isnan(F.col("x") + F.col("y") + F.col("z"))  # null coordinates make it null
@@ -53,22 +56,28 @@ def closest(points: DataFrame, targets: DataFrame, km: float, rank: Column | Non
     box = there.agg(F.count("*"), *(F.max(c) - F.min(c) for c in "xyz")).first()
     reach = km + 1e-3
     width = min(reach, max(2 * max(box[1:]) / box[0] ** 0.5, reach / 1024)) if box[0] else reach
+    cubes = lambda: [cell(F.col(c), width).alias("c" + c) for c in "xyz"]
+    # Dense spots ask for narrower cubes than the mean does.
+    while width > reach / 2**16 and (there.groupBy(*cubes()).count().agg(F.max("count")).first()[0] or 0) > CROWD:
+        width /= 2
+    within = F.col("lat2").isNotNull() & (F.col("km") <= km)
     found = None
     while True:
         last = width >= reach
-        cubes = [cell(F.col(c), width).alias("c" + c) for c in "xyz"]
-        around = there.select(*targets.columns, *cubes)
+        around = there.select(*targets.columns, *cubes())
         for c in ("cx", "cy", "cz"):
             around = around.withColumn(c, F.explode(F.sequence(F.col(c) - 1, F.col(c) + 1)))
-        pairs = todo.select("lat", "lon", *cubes).join(around, ["cx", "cy", "cz"])
-        pairs = pairs.withColumn("km", S.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))).filter(F.col("km") <= km)
-        hits = pairs.groupBy("lat", "lon").agg(F.min("km").alias("_km"), F.min(rank).alias("best"))
+        # A left join, as a plan that names the step before it twice would double with each step. No broadcast: these are 27 times the rows that Spark expects.
+        pairs = todo.select("lat", "lon", *cubes()).join(around.hint("merge"), ["cx", "cy", "cz"], "left")
+        pairs = pairs.withColumn("km", S.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
+        step = pairs.groupBy("lat", "lon").agg(F.min(F.when(within, F.col("km"))).alias("_km"), F.min(F.when(within, rank)).alias("best")).persist()
         # The margin holds what rank rounds off.
-        hits = (hits if last else hits.filter(F.col("_km") <= width - 1e-5)).select("lat", "lon", "best").persist()
+        proven = F.coalesce(F.col("_km") <= (km if last else width - 1e-5), F.lit(False))
+        hits = step.filter(proven).select("lat", "lon", "best")
         found = hits if found is None else found.unionByName(hits)
         if last:
             return found
-        todo = todo.join(hits, ["lat", "lon"], "left_anti").persist()
+        todo = step.filter(~proven).select("lat", "lon", *_on_sphere("lat", "lon"))
         if todo.isEmpty():
             return found
         width *= 2
