@@ -196,3 +196,10 @@ def test_bootstrap_weights_follow_the_cluster(spark):
     for k in "ab":
         assert abs(rows[k].estimate - 1 / 3) < 0.02 and rows[k].low < rows[k].estimate < rows[k].high
         assert abs(rows[k].se - np.sqrt(2 / 9 / 200)) < 0.01
+
+
+def test_merged_runs_of_equal_periods(spark):
+    # Which of two equal periods comes first is open; a new run must begin with the first one all the same.
+    rows = [(k, a, a + w) for k in range(300) for a, w in ((0, 5), (0, 5), (10, 5), (10, 5), (10, 5), (15, 1), (30, 2), (30, 2))]
+    found = I.merged_runs(spark.createDataFrame(rows, "k int, a int, b int").repartition(7), "k", "a", "b").collect()
+    assert sorted(tuple(r) for r in found) == sorted((k, *run) for k in range(300) for run in ((0, 5, 2), (10, 16, 4), (30, 32, 2)))
